@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, secrets
+from . import anchors, minhash, mixing, pieces, quality, secrets
 from .shared import documents
 
 PIECES = "piece_bpe_32k.model"
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model_file = public_tokenizers.path(PIECES)
     ids = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model_file).select("doc_id", "ids")
@@ -50,16 +54,34 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anchors.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM w, range(1, len(w)) AS r(i) UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {minhash.PERCENT} * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM c LEFT JOIN n USING (doc_id)""",
     "op4_quality_rules": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
         tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, range(1, len(w) - 1) AS r(i)),
