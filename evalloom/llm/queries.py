@@ -41,10 +41,13 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        *(number(k).alias(f"n_{k}") for k in base),
         F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
     )
@@ -75,8 +78,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM w, range(1, len(w)) AS r(i) UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-        link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {minhash.PERCENT} * (x.n + y.n - k)),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {minhash.PERCENT} * (x.n + y.n - k)),
         edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
@@ -94,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > {quality.LIMIT}),
         removed AS (SELECT l.doc_id, sum(words) AS n FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
         b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-                CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                 CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
                 CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
                 CAST(coalesce(removed.n, 0) AS BIGINT) AS gone
