@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, minhash, mixing, pieces, quality, secrets
+from . import anchors, lattice, minhash, mixing, pieces, quality, secrets, warc
 from .shared import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -35,6 +35,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_and_read(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(PIECES))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in secrets.BASE]
 
@@ -66,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
+    "op6_lattice": op6_lattice,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
@@ -106,4 +117,12 @@ ORACLE_SQL: dict[str, str] = {
             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - gone) >= {quality.KEPT_PERCENT} * n_words AS kept
         FROM b""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        digits AS (SELECT page_id, html, list_transform([1, 11, 21, 31], lambda k: CAST('0x' || h[k : k + 9] AS BIGINT)) AS parts FROM p),
+        d AS (SELECT page_id, html, list_aggregate(flatten(list_transform(parts, lambda v: list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS BIGINT) + 1, 1)))), 'string_agg', '') AS digest FROM digits),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM d)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM k""",
 }
