@@ -21,6 +21,9 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Marks what stands between words when punctuation does, too.
+PUNCTUATION = _SEPARATOR.copy()
+PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -71,15 +74,15 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Maximal runs of bytes other than 0x20 and 0x09-0x0D; a null text has none. lower: A-Z become a-z."""
+def words_of(column: pa.Array, lower: bool = False, between: np.ndarray = _SEPARATOR) -> Words:
+    """Maximal runs of bytes other than 0x20 and 0x09-0x0D (or those marked in between); a null text has none. lower: A-Z become a-z."""
     column = column.cast(pa.string()) if not pa.types.is_string(column.type) else column
     if not len(column) or not column.buffers()[2]:
         return Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64))
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = ~_SEPARATOR[data]
+    inside = ~between[data]
     first = np.ones(len(data), bool)
     first[1:] = ~inside[:-1]
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
