@@ -1,15 +1,62 @@
-"""A corpus pipeline: each stage takes what its predecessor kept."""
+"""A corpus pipeline in five stages. Each takes what its predecessor kept, and all but the last return the columns of documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from evalloom.llm import minhash, mixing, pieces, secrets, toxicity
+from evalloom.llm.shared import stored
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.rated(docs, docs, labels).where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates stays."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets, and n_chars follows."""
+    found = secrets.scan(docs, spans="__secrets")
+    text = secrets.redacted(F.col("text"), F.col("__secrets"))
+    n_chars = F.when(F.size("__secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*({"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces, and whether these decode to the text again."""
+    model_file = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(docs, model_file), model_file)
+    return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near-duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("mixing", mixed),
+    ("pieces", encoded),
+]
+
+#: SQL can express neither the toxicity model nor the draws of the mix.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again, over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
