@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -30,21 +30,26 @@ from .shared import text_slices
 
 SPACE = "▁"
 #: Stretches and pairs that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 SLICE = 2 << 20
+_BYTES = re.compile("[\udc80-\udcff]")
 
 
 class Remembered(dict):
-    """A bounded memory of a function's results."""
+    """A bounded memory of a function's results: at most twice REMEMBERED, of which those not used for long go first."""
 
     def __init__(self, function, most: int = REMEMBERED):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, key):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.function(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.function(key)
+        self[key] = value
         return value
 
 
@@ -81,7 +86,9 @@ class PieceTable:
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if SPACE not in inner and not any("\n" in p for p in self.ids) else r"(?s).+")
         self.compatible = Remembered(lambda pair: self._apart(*pair))
         self.encoded = Remembered(self._encode)
-        self.texts = [(" \u2047 " if model.is_unknown(i) else "") if special[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.numbers = _Numbers(self.ids, self.byte_ids)
+        # A byte from 0x80 stands as the half character that Python decodes it to, until the text is whole.
+        self.texts = [bytes((self.bytes[i],)).decode("ascii", "surrogateescape") if i in self.bytes else (" \u2047 " if model.is_unknown(i) else "") if special[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
 
     def _made(self, part: str, whole: str) -> bool:
         return len(part) == 1 or part in self.parts and self.order[part] < self.order[whole]
@@ -115,40 +122,47 @@ class PieceTable:
         found = self._last_pieces(stretch[max(0, spaces - 1) :])
         if spaces > 1:
             found = self._run(spaces) + found[1:] if found[0] == SPACE else self._run(spaces - 1) + found
-        return tuple(chain.from_iterable([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()] for p in found))
+        return np.array([*chain.from_iterable(self.numbers[p] for p in found)], np.int32).tobytes()
 
     def _last_pieces(self, stretch: str) -> list[str]:
-        last: list[str] = [""] * (len(stretch) + 1)
-        ending: list[list[str]] = [[] for _ in range(len(stretch) + 1)]
-        for end, piece in self.automaton.iter(stretch):
-            ending[end + 1].append(piece)
-        for end in range(1, len(stretch) + 1):
-            for piece in (*ending[end], stretch[end - 1]):
-                if (at := end - len(piece)) == 0 or self.compatible[last[at], piece]:
-                    last[end] = piece
-                    break
-            else:
-                raise ValueError(f"no piece can end at {end} of {stretch!r}")
+        last, compatible = [""], self.compatible
+        ending = self.automaton.iter(stretch)  # by end, of equal ends the longest first
+        at, piece = next(ending, (-1, ""))
+        for end, char in enumerate(stretch):
+            chosen = None
+            while at == end:
+                start = end + 1 - len(piece)
+                if chosen is None and (not start or compatible[last[start], piece]):
+                    chosen = piece
+                at, piece = next(ending, (-1, ""))
+            last.append(chosen or char)
         found, at = [], len(stretch)
         while at:
             found.append(last[at])
             at -= len(last[at])
         return found[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        return [*chain.from_iterable(map(self.encoded.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE))))]
+            return np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(map(self.encoded.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE)))), np.int32)
+
+    def decode(self, ids: list[int]) -> str:
+        text = "".join(map(self.texts.__getitem__, ids))
+        if _BYTES.search(text):
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
+
+
+class _Numbers(dict):
+    """Ids by piece; a character without a piece has those of its bytes."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: dict[int, int]):
+        super().__init__((p, (i,)) for p, i in ids.items())
+        self.byte_ids = byte_ids
 
-    def decode(self, ids) -> str:
-        if not len(ids):
-            return ""
-        texts = self.texts
-        if self.bytes.keys().isdisjoint(ids):
-            text = "".join([texts[i] for i in ids])
-        else:
-            text = b"".join([bytes((self.bytes[i],)) if i in self.bytes else texts[i].encode() for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.pieces[ids[0]].startswith(SPACE) else text
+    def __missing__(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in char.encode())
 
 
 @lru_cache(1)
@@ -177,7 +191,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in text_slices(column, SLICE):
-                found = [np.array(table.encode(t), np.int32) for t in column.slice(lo, hi - lo).to_pylist()]
+                found = [table.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 yield _with_column(batch.slice(lo, hi - lo), ids, pa.ListArray.from_arrays(ends, np.concatenate(found)))
 
@@ -192,8 +206,11 @@ def decode(frame: DataFrame, model_file: str, ids: str = "ids", decoded: str = "
         table = _table(_path(model_file))
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(ids))
+            ends = column.offsets.to_pylist()
+            values = column.values.to_numpy(zero_copy_only=False)
             for lo in range(0, len(batch), 256):
-                texts = [table.decode(x or ()) for x in column.slice(lo, 256).to_pylist()]
+                texts = [table.decode(values[a:b].tolist()) for a, b in pairwise(ends[lo : lo + 257])]
                 yield _with_column(batch.slice(lo, 256), decoded, pa.array(texts, pa.string()))
 
+    frame = frame.withColumn(ids, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")))
     return frame.mapInArrow(batches, _schema(frame, decoded, T.StringType()))
