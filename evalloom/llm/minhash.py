@@ -6,8 +6,8 @@ bins are bands, and equal bands put documents into one bucket. Documents of equa
 id goes into buckets.
 
 In each bucket one member is linked to all the others as a star, and the sets of each such pair are compared in full. As a star can miss a link
-between two of its points, buckets whose members are not all in one component are taken up again with other centres
-until each is of one component or each member has been a centre; a round's pairs are at most CENTRES times a bucket's members.
+between two of its points, buckets whose members are not all in one component are taken up again, with MORE times as many
+centres each round, one of each component, until each is of one component or each member has been a centre. Most buckets are done after the first star.
 
 With 32 bands of 5 a pair of similarity 0.8 shares no bucket with a chance of 3 in a million; higher ones less.
 
@@ -29,7 +29,8 @@ from .shared import BASES, mixed, runs_hash, stored, text_slices, word_hash, wor
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-CENTRES = 8
+#: Times as many centres a bucket in each round.
+MORE = 8
 SALTS = 8
 PERCENT = 80
 _U = np.uint64
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         now = now.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
         members = stored(now.join(mixed_buckets, "bucket").select("bucket", "rep", "n_shingles", "component"), "members")
-        centres = CENTRES
+        centres *= MORE
 
     result = of.select("doc_id", "rep").distinct()
     if labels is not None:
