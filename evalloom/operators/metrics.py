@@ -55,7 +55,7 @@ def ngram_matches(rows: DataFrame, key: Sequence[str], reference: str, hypothesi
 
     def grams(column: str) -> Column:
         words = T.spaced(F.lower(column) if lower else F.col(column))
-        return F.array(*(T.ngrams(words, n) for n in range(1, most + 1)))
+        return T.let(words, lambda w: F.array(*(T.ngrams(w, n) for n in range(1, most + 1))))
 
     sides = [rows.select(*key, F.lit(k).alias("side"), F.posexplode(grams(c)).alias("n", "grams")).select(*key, "side", (F.col("n") + 1).alias("n"), F.explode("grams").alias("gram")) for k, c in enumerate((reference, hypothesis))]
     counts = sides[0].union(sides[1]).groupBy(*key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
