@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "evalloom", **settings: str) -> SparkSession:
@@ -11,3 +13,14 @@ def session(name: str = "evalloom", **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, worked out once and kept in the shared folder of spark.checkpoint.dir (a local one where none is set): what reads it sees the same rows even if executors are lost."""
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evalloom-"))
+    return frame.checkpoint()
