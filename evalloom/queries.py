@@ -251,7 +251,7 @@ def class_balance(spark, sf_dir):
 
 def _jsd(shares: str, by: str) -> str:
     return f"""{shares}, b AS (SELECT coalesce(x.{by}, y.{by}) AS {by}, coalesce(x.p, 0) AS x, coalesce(y.p, 0) AS y FROM real x FULL JOIN generated y ON x.{by} = y.{by} AND x.k = y.k)
-    SELECT {by}, round(sum((CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2), 9) AS jsd FROM b GROUP BY {by}"""
+    SELECT {by}, CASE WHEN sum(x) = 0 OR sum(y) = 0 THEN 0 ELSE round(sum((CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2), 9) END AS jsd FROM b GROUP BY {by}"""
 
 
 @query(
