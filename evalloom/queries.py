@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from .functions import parse
 from .functions import text as T
 from .functions.vocab import CHAR_BINS, FIRST_PERSON, PUNCTUATION, QUANTILES, SECOND_PERSON, SIGNAL_RATES, SIGNALS, SLANG, SPAM_KEYWORDS, STOPWORDS, STYLES, WORD_BINS, bin_label
-from .operators import fidelity, metrics, profile, runs, sampling
+from .operators import edits, fidelity, generate, metrics, profile, runs, sampling
+from .plans import report
+from .session import shared_path
+from .sources import corpora
+from .streaming import runs as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -406,3 +410,105 @@ def weighted_choices(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = sampling.choice(sampling.uniform(F.col("doc_id"), "n", 1), {"1": 0.5, "2": 0.3, "3": 0.2}).cast("int")
     return docs.select("doc_id", sampling.distinct_choices(F.col("doc_id"), n, weights, 1).alias("signals"))
+
+
+_MESSAGES = """m AS (SELECT doc_id, regexp_replace(text, '^{ws}|{ws}$', '', 'g') AS text, CASE WHEN toxic = 1 THEN 'SPAM' ELSE 'HAM' END AS label FROM documents JOIN labels USING (doc_id) WHERE {nonblank})""".format(ws=_WS, nonblank=_NONBLANK)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
+    return corpora.messages(rows, ["doc_id"])
+
+
+@query(f"WITH {_MESSAGES} SELECT doc_id, md5(text) AS digest, label FROM m")
+def usable_messages(spark, sf_dir):
+    return messages(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "label")
+
+
+@query(f"WITH {_MESSAGES} SELECT doc_id FROM m WHERE label = 'HAM' ORDER BY doc_id LIMIT 100")
+def first_seeds(spark, sf_dir):
+    """A top-k report: the first 100 seeds of a run."""
+    return corpora.first_usable(messages(spark, sf_dir).where("label = 'HAM'"), "doc_id", 100).select("doc_id")
+
+
+@query(f"WITH {_MESSAGES}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS k FROM m) SELECT doc_id, label FROM r WHERE k <= 25")
+def balanced_first(spark, sf_dir):
+    return sampling.balanced_first(messages(spark, sf_dir), "label", "doc_id", 25).select("doc_id", "label")
+
+
+@query(f"WITH {_MESSAGES}, s AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM m), i AS (SELECT unnest(range(1, 5001)) AS i), c AS (SELECT i, CASE WHEN i % 3 = 0 THEN 'SPAM' ELSE 'HAM' END AS label FROM i) SELECT i, c.label, doc_id FROM c JOIN s ON c.label = s.label AND (c.i - 1) % size + 1 = n")
+def cycled_seeds(spark, sf_dir):
+    """Seeds of each class in turn for 5000 samples."""
+    pool = generate.numbered(messages(spark, sf_dir).select("label", "doc_id"), "doc_id", ["label"])
+    wanted = generate.samples(spark, 5000).withColumn("label", F.when(F.col("i") % 3 == 0, "SPAM").otherwise("HAM"))
+    return generate.cycled(wanted, pool, ["label"]).select("i", "label", "doc_id")
+
+
+@query(f"WITH {_LABELLED}, {_FIRED}, k AS (SELECT unnest(CASE WHEN len(fired) = 0 THEN ['unknown'] ELSE fired END) AS kind FROM x) SELECT kind, count(*) AS n FROM k GROUP BY kind")
+def technique_tally(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select(F.nullif(F.array_join(T.signals(F.col("text")), ", "), F.lit("")).alias("technique"))
+    return runs.tally(rows, F.col("technique"), F.lit(None).cast("string"))
+
+
+@query(f"WITH {_LABELLED}, {_FIRED}, k AS (SELECT unnest(fired) AS kind FROM x), t AS (SELECT kind, count(*) AS n FROM k GROUP BY kind) SELECT kind, n, round(0.25 * (SELECT sum(n) FROM t), 6) AS expected FROM t")
+def expected_signals(spark, sf_dir):
+    """What a chart of kinds draws: counts beside those at rates of a quarter each."""
+    rows = labelled(spark, sf_dir).select(F.explode(T.signals(F.col("text"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    rates = spark.createDataFrame([(s, 0.25) for s in SIGNALS], "kind string, rate double")
+    return report.expected_types(rows, rates).withColumn("expected", F.round("expected", 6))
+
+
+@query(f"{_gleu(False)}, s AS (SELECT pair_id, sum(k) / greatest(sum(r), sum(h)) AS gleu FROM m GROUP BY pair_id), a AS (SELECT conv_id % 4 AS category, coalesce(gleu, 0) AS gleu FROM t LEFT JOIN s USING (pair_id)), z AS (SELECT category, round(avg(gleu), 9) AS gleu FROM a GROUP BY category) SELECT category, gleu, row_number() OVER (ORDER BY gleu DESC, category)::INT AS place FROM z")
+def gleu_leaderboard(spark, sf_dir):
+    pairs = turns(spark, sf_dir).withColumn("category", F.col("conv_id") % 4)
+    means = metrics.gleu(pairs, ["category", "pair_id"], "input", "output").groupBy("category").agg(F.round(F.avg("gleu"), 9).alias("gleu"))
+    return report.leaderboard(means, ["category"], "gleu").select("category", "gleu", "place")
+
+
+@query(f"WITH {_SCORES} SELECT mode, model, count(*) AS n, count(DISTINCT run) AS runs, round(sum(value), 4) AS total FROM e GROUP BY ALL")
+def pooled_runs(spark, sf_dir):
+    """Runs of both modes concatenated, and what is effective of them."""
+    rows = scores(spark, sf_dir)
+    pooled = rows.where("mode = 'forward'").unionByName(rows.where("mode = 'inverse'"))
+    return pooled.groupBy("mode", "model").agg(F.count("*").alias("n"), F.count_distinct("run").alias("runs"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type AS model, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def score_windows(spark, sf_dir):
+    rows = streamed.windowed(table(spark, sf_dir, "events").withColumnRenamed("event_type", "model"))
+    return rows.select("start", "model", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {_SCORES} SELECT model, mode AS metric, count(value) AS runs, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM e GROUP BY model, mode")
+def streamed_means(spark, sf_dir):
+    """The same table as a stream: read in micro-batches, kept up in a table of changes, and read from there."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.lit("s").alias("session"), F.col("event_type").alias("model"), F.when(F.col("user_id") % 2 == 0, "forward").otherwise("inverse").alias("metric"), "value")
+    out = shared_path(spark, "streamed")
+    streamed.kept_up(streamed.mean_std(rows), f"{out}/results", f"{out}/checkpoint").awaitTermination()
+    return streamed.latest(spark, f"{out}/results").select("model", "metric", "runs", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query()
+def edit_types(spark, sf_dir):
+    """No SQL: edits come from an alignment in Python. Tested on pairs with known edits."""
+    rows = turns(spark, sf_dir).select(edits.annotator()(F.col("input"), F.col("output")).alias("edits"))
+    return rows.select(F.explode("edits.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def pair_buckets(spark, sf_dir):
+    """No SQL: the longest-block ratio has none."""
+    return profile.pair_stats(turns(spark, sf_dir), "input", "output")
+
+
+@query()
+def generated_messages(spark, sf_dir):
+    """No SQL: draws by hashes. A sample for each seed, by a client without a model."""
+    pool = generate.numbered(messages(spark, sf_dir).select("doc_id", F.col("text").alias("seed")), "doc_id").select("n", "seed")
+    n = pool.count()
+    return generate.class_conditional(
+        spark, generate.Client(generate.offline), n, labels=("SPAM", "HAM"), positive_share=0.5, types=dict.fromkeys(SIGNALS, 0.2), counts={1: 0.7, 2: 0.3},
+        descriptions={s: s.replace("_", " ") for s in SIGNALS}, prompts={"inject": "Put in {error_spec}\n{sentence}", "rewrite": "Say again\n{sentence}"}, seeds=pool,
+    ).select("i", "label", "technique", "rejected", F.md5(F.col("text").cast("binary")).alias("digest"))

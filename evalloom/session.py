@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +16,17 @@ def session(name: str = "evalloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share: spark.checkpoint.dir, and a local one only where that is not set. It is deleted when the driver's JVM ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evalloom-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settled(frame: DataFrame) -> DataFrame:
-    """The frame, worked out once and kept in the shared folder of spark.checkpoint.dir (a local one where none is set): what reads it sees the same rows even if executors are lost."""
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evalloom-"))
-    return frame.checkpoint()
+    """The frame, worked out once and written to the shared folder: what reads it sees the same rows even if executors are lost."""
+    path = shared_path(frame.sparkSession, "settled")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -126,3 +126,19 @@ def test_annotator_and_models(spark):
     assert {(r.doc_id, r.model): r.prediction for r in said} == {(0, "s"): "SPAM", (1, "s"): "HAM", (0, "p"): "WIN $5 NOW!", (1, "p"): "HELLO THERE"}
     with pytest.raises(ValueError):
         models.predictor("spam", "none")
+
+
+def test_whole_profiles(spark):
+    from evalloom.plans import profiles
+
+    rows = spark.createDataFrame([(1, "win $5 now!", "SPAM"), (2, "see you at lunch", "HAM"), (3, None, "HAM"), (4, "x", None)], "doc_id long, text string, label string")
+    found = profiles.rows_profile(rows, ["text"])
+    assert found["count"].first().n == 4 and {r.column: r.missing for r in found["missing"].collect()} == {"doc_id": 0, "text": 1, "label": 1}
+    classes = profiles.classes_profile(rows)
+    assert {r.label: (r.n, r.percent) for r in classes["labels"].collect()} == {"SPAM": (1, 50.0), "HAM": (1, 50.0)}
+    whole = profiles.messages_profile(rows.where("label IS NOT NULL"))
+    assert {r.signals: r.n for r in whole["signal_counts"].collect()} == {3: 1} and all(b.count() >= 0 for b in whole.values())
+    pairs = spark.createDataFrame([(1, "He go home", "He goes home"), (2, "a b c", "x y z")], "doc_id long, incorrect string, correct string")
+    found = profiles.pairs_profile(pairs)
+    assert {r.complexity: r.n for r in found["complexity"].collect()} == {"low": 1, "high": 1}
+    assert found["edits.totals"].first().mean_edits == 1.0
