@@ -264,9 +264,11 @@ def drops(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rejected").agg(F.count("*").alias("n"))
 
 
-def variants(seeds: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every seed with every variant of prompt and setting; variants are tens."""
-    return seeds.crossJoin(F.broadcast(grid.limit(10_000)))
+def variants(seeds: DataFrame, grid: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every seed with every variant of prompt and setting; ValueError if a grid is larger than a settings' table can be."""
+    if grid.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} variants")
+    return seeds.crossJoin(F.broadcast(grid))
 
 
 def offline(prompt: str) -> str:

@@ -57,7 +57,7 @@ def consolidated_from(raw: str | None, spark) -> dict[str, dict]:
 
 
 def profile(texts: DataFrame, key: str, label_prompt: str, consolidate_prompt: str, client: Client, batch: int = 20) -> DataFrame:
-    """Both passes: labels, one question that consolidates them (asked again once), topics. consolidate_prompt has {labels}."""
+    """Both passes: labels, one question that consolidates them (asked again once), topics. consolidate_prompt has {labels}, the 1000 most frequent; labels that no topic claims stay topics of their own."""
     rows = settled(labelled(texts, key, label_prompt, client, batch))
     lines = [f"{r.label} — {r.n}" for r in rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()]
     for _ in range(2):
