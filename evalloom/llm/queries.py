@@ -136,4 +136,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
             CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
         FROM k""",
+    "op9_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM d, range(1, len(w) - 48) AS r(i)),
+        own AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM own, range(0, 50) AS r(k) WHERE first < doc_id),
+        places AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+            sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' '), '') END) AS kept_sha256
+        FROM d LEFT JOIN places USING (doc_id)""",
 }
