@@ -49,10 +49,10 @@ def _pair_scores(rows: DataFrame) -> DataFrame:
     with_edits = rows.select("model", find(F.col("text"), F.col("prediction")).alias("e"), find(F.col("text"), F.col("original")).alias("g"))
     bare = with_edits.select("model", *(F.transform(c, lambda x: F.struct(x["start"], x["end"], x["type"])).alias(n) for c, n in (("e", "predicted"), ("g", "gold"))))
     scored = metrics.edit_scores(bare.where("predicted IS NOT NULL AND gold IS NOT NULL"), by=by)
-    scored = scored.select("model", F.col("precision").alias("edits.precision"), F.col("recall").alias("edits.recall"), F.col("f05").alias("edits.f0.5"))
+    scored = scored.select("model", F.col("precision").alias("errant.precision"), F.col("recall").alias("errant.recall"), F.col("f05").alias("errant.f0.5"))
     n_edits, extent = metrics.mean_edits(bare, by=by), metrics.correction_extent(rows, "text", "prediction", by).select("model", F.col("extent").alias("correction_extent"))
     wide = gleu.join(scored, "model").join(n_edits, "model").join(extent, "model")
-    return wide.select("model", F.expr("stack(6, 'gleu', gleu, 'edits.precision', `edits.precision`, 'edits.recall', `edits.recall`, 'edits.f0.5', `edits.f0.5`, 'n_edits', n_edits, 'correction_extent', correction_extent) AS (metric, value)"))
+    return wide.select("model", F.expr("stack(6, 'gleu', gleu, 'errant.precision', `errant.precision`, 'errant.recall', `errant.recall`, 'errant.f0.5', `errant.f0.5`, 'n_edits', n_edits, 'correction_extent', correction_extent) AS (metric, value)"))
 
 
 def _pair_samples(rows: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def test_scores_of_tasks(spark):
     assert found["s", "recall"] == 1 and found["s", "fpr"] == 0.5 and found["t", "precision"] == 1
     pairs = spark.createDataFrame([(1, "He go home", "He goes home")], "id int, text string, original string")
     found = {(r.model, r.metric): r.value for r in tasks.evaluated(tasks.TASKS["gec"], pairs, {"same": models.unchanged(), "good": models.words_replaced({"go": "goes"})}).collect()}
-    assert found["good", "edits.f0.5"] == 1 and found["good", "gleu"] == 1 and found["same", "n_edits"] == 0 and found["same", "edits.recall"] == 0
+    assert found["good", "errant.f0.5"] == 1 and found["good", "gleu"] == 1 and found["same", "n_edits"] == 0 and found["same", "errant.recall"] == 0
     opinions = spark.createDataFrame([("good", "POSITIVE"), ("bad", "NEGATIVE"), ("eh", "NEUTRAL")], "text string, label string")
     found = {r.metric: r.value for r in tasks.evaluated(tasks.TASKS["sentiment"], opinions, {"w": models.by_words()}).collect()}
     assert found == {"accuracy": 1.0, "macro_precision": 1.0, "macro_recall": 1.0, "macro_f1": 1.0}
