@@ -19,9 +19,11 @@ an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ from .shared import BASES, mixed, runs_hash, stored, text_slices, word_hash, wor
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: Sets that a task has signatures of at once.
+SETS = 1024
+#: Bytes of text in the pairs that a task compares at once.
+PAIR_BYTES = 2 << 20
 #: Times as many centres a bucket in each round.
 MORE = 8
 SALTS = 8
@@ -99,8 +105,11 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(sizes)
             keys = np.zeros((hi - lo, BANDS), np.int64)
             one, two = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+            for at in range(0, len(some), SETS):
+                part = some[at : at + SETS]
+                first, last = bounds[part[0]], bounds[part[-1] + 1]
+                keys[part] = bands(signatures(values[first:last], np.append(bounds[part], last) - first)).view(np.int64)
             if len(some):
-                keys[some] = bands(signatures(values, np.append(bounds[some], bounds[-1]))).view(np.int64)
                 one[some] = np.add.reduceat(mixed(values), bounds[some]).view(np.int64)
                 two[some] = np.add.reduceat(mixed(values ^ _U(BASES[0])), bounds[some]).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * BANDS, keys.ravel())
@@ -110,8 +119,10 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, text_a, text_b) that are linked."""
     for batch in rows:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
+        sizes = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)))
+        cuts = np.flatnonzero(np.diff(sizes // PAIR_BYTES, prepend=0)).tolist()
+        for at, to in pairwise(dict.fromkeys([0, *cuts, len(batch)])):
+            part = batch.slice(at, to - at)
             left, right = (part.column(k).cast(pa.large_string()).cast(pa.string()) for k in (2, 3))
             (x, xs), (y, ys) = shingle_sets(left), shingle_sets(right)
             keep = []
