@@ -5,9 +5,12 @@ bins; an empty bin takes the value of the first filled bin in an order of its ow
 bins are bands, and equal bands put documents into one bucket. Documents of equal sets are one class, and only its smallest
 id goes into buckets.
 
-In each bucket one member is linked to all the others as a star, and the sets of each such pair are compared in full. As a star can miss a link
+In each bucket one member is linked to all the others as a star. Each set has a sketch of PARITY bits, the parities of how many of its hashes fall on
+each; two sets differ in as many hashes as their sketches in bits at least, so that most pairs are out by a few words' difference, and
+the sets of all other pairs are compared in full. As a star can miss a link
 between two of its points, buckets whose members are not all in one component are taken up again, with MORE times as many
-centres each round, one of each component, until each is of one component or each member has been a centre. Most buckets are done after the first star.
+centres each round, from outside the bucket's largest component, until each bucket is of one component or all members outside its largest one have been
+centres: every pair of two components has such a member. Most buckets are done after the first star.
 
 With 32 bands of 5 a pair of similarity 0.8 shares no bucket with a chance of 3 in a million; higher ones less.
 
@@ -24,7 +27,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BASES, mixed, runs_hash, stored, text_slices, word_hash, words_of
@@ -36,7 +39,8 @@ SETS = 1024
 #: Bytes of text in the pairs that a task compares at once.
 PAIR_BYTES = 2 << 20
 #: Times as many centres a bucket in each round.
-MORE = 8
+MORE = 64
+PARITY = 1024
 SALTS = 8
 PERCENT = 80
 _U = np.uint64
@@ -88,6 +92,25 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return found
 
 
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITY bits of each set, 64 to a number: the exclusive or of the bits that its hashes stand for."""
+    n, words = len(bounds) - 1, PARITY // 64
+    found = np.zeros(n * words, _U)
+    if len(values):
+        place = np.repeat(np.arange(n), np.diff(bounds)) * words + (values >> _U(64 - (words - 1).bit_length())).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        found[place[first]] = np.bitwise_xor.reduceat(_U(1) << (values >> _U(64 - (PARITY - 1).bit_length()) & _U(63)), first)
+    return found.reshape(n, words)
+
+
+def maybe_linked(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """False only if sets of n and m hashes with the sketches a and b are surely not linked."""
+    apart = F.lit(0)
+    for k in range(PARITY // 64):
+        apart = apart + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)
+
+
 def bands(rows: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = np.repeat(np.arange(BANDS, dtype=_U)[None], len(rows), axis=0)
@@ -113,7 +136,9 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one[some] = np.add.reduceat(mixed(values), bounds[some]).view(np.int64)
                 two[some] = np.add.reduceat(mixed(values ^ _U(BASES[0])), bounds[some]).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * BANDS, keys.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), lists], ["doc_id", "n_shingles", "one", "two", "bands"])
+            words = PARITY // 64
+            bits = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * words, parities(values, bounds).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), lists, bits], ["doc_id", "n_shingles", "one", "two", "bands", "bits"])
 
 
 def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,27 +176,35 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>"), "sketch")
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>, bits array<long>"), "sketch")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["one", "two", "n_shingles"]
     classes = named.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(classes.where("n > 1").select(*same, "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "classes")
     of = named.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(classes, [*same, "salt"], "left")
-    of = stored(of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("bands")).alias("bands")), "representatives")
+    alone = F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))
+    of = stored(of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *(F.when(alone, F.col(c)).alias(c) for c in ("bands", "bits"))), "representatives")
 
-    members = of.where("bands IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    members = of.where("bands IS NOT NULL").select("rep", "n_shingles", "bits", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("rep").alias("component")), "members")
+    members = stored(members.join(shared, "bucket").select("bucket", "rep", "n_shingles", "bits", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     links, tested, centres = None, None, 1
     labels = None
     while not members.isEmpty():
-        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("centre"))
-        order = Window.partitionBy("bucket").orderBy("n", "centre.rep")
-        chosen = stored(parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).select("bucket", F.col("component").alias("its"), "centre"), "centres")
+        if labels is None:
+            chosen = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles", "bits")).alias("centre")).select("bucket", F.col("centre.rep").alias("its"), "centre")
+        else:
+            parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+            largest = parts.groupBy(F.col("bucket").alias("of")).agg(F.max(F.struct("n", "component"))["component"].alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+            others = members.join(largest, F.col("bucket") == F.col("of")).where("component <> largest")
+            others = others.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("others") / centres)) == 0)
+            chosen = others.select("bucket", F.col("component").alias("its"), F.struct("rep", "n_shingles", "bits").alias("centre"))
+        chosen = stored(chosen, "centres")
         pairs = members.join(chosen, "bucket").where("component <> its")
+        pairs = pairs.where(maybe_linked(F.col("n_shingles"), F.col("centre.n_shingles"), F.col("bits"), F.col("centre.bits")))
         pairs = pairs.where(100 * F.least("n_shingles", "centre.n_shingles") >= PERCENT * F.greatest("n_shingles", "centre.n_shingles"))
         pairs = pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
@@ -184,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         now = members.join(chosen.select("bucket", F.col("centre.rep").alias("rep")), ["bucket", "rep"], "left_anti").drop("component")
         now = now.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        members = stored(now.join(mixed_buckets, "bucket").select("bucket", "rep", "n_shingles", "component"), "members")
+        members = stored(now.join(mixed_buckets, "bucket").select("bucket", "rep", "n_shingles", "bits", "component"), "members")
         centres *= MORE
 
     result = of.select("doc_id", "rep").distinct()
