@@ -30,7 +30,7 @@ from .shared import text_slices
 
 SPACE = "▁"
 #: Stretches and pairs that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 SLICE = 2 << 20
 _BYTES = re.compile("[\udc80-\udcff]")
 
