@@ -70,3 +70,31 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     rows = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect())
     assert rows == [(-1, 2, None, True), (4, 2, 4, True), (4, 2, 4, True), (6, 2, 4, False)]
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [t for _, t in fixture(5) if t]
+    values, bounds = minhash.shingle_sets(pa.array(rows))
+    bits = minhash.parities(values, bounds)
+    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    out = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            apart = len(np.setxor1d(sets[i], sets[j]))
+            found = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert found <= apart and (apart - found) % 2 == 0
+            out += found > apart * 0.9
+    assert out > 0
+
+
+def test_several_rounds_in_buckets_of_unlinked_members(spark, monkeypatch):
+    """Copies of one text with a quarter of its words changed share buckets, though most are not linked."""
+    monkeypatch.setattr(minhash, "MORE", 2)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(f"c{i}x{k}" if rng.random() < rng.choice([0.02, 0.06, 0.12]) else w for k, w in enumerate(base))) for i in range(90)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    assert result(minhash.near_duplicates(frame)) == brute(rows)
