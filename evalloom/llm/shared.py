@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task hashes at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Any odd numbers serve; two of each give 128 bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

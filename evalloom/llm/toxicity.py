@@ -222,16 +222,11 @@ def rated(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SAM
         return rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     model, slope, intercept = rows.sparkSession.sparkContext.broadcast(fitted[0]), fitted[1], fitted[2]
 
-    @F.pandas_udf("double")
-    def chance(texts):
-        column = pa.array(texts.fillna(""), pa.string())
+    @F.arrow_udf("double")
+    def chance(column: pa.Array) -> pa.Array:
+        column = column.fill_null("")
         found = [np.zeros(0), *(model.value.of_texts(column.slice(lo, hi - lo)) for lo, hi in text_slices(column))]
-        return _series(1 / (1 + np.exp(-(slope * np.concatenate(found) + intercept))))
+        return pa.array(1 / (1 + np.exp(-(slope * np.concatenate(found) + intercept))))
 
     return rows.withColumn("score", chance(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= reject).cast("int"))
 
-
-def _series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values)
