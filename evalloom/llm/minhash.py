@@ -185,9 +185,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))
     of = stored(of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *(F.when(alone, F.col(c)).alias(c) for c in ("bands", "bits"))), "representatives")
 
-    members = of.where("bands IS NOT NULL").select("rep", "n_shingles", "bits", F.explode("bands").alias("bucket"))
+    members = of.where("bands IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket").select("bucket", "rep", "n_shingles", "bits", F.col("rep").alias("component")), "members")
+    sketches = of.where("bands IS NOT NULL").select("rep", "bits").dropDuplicates(["rep"])  # only few bucket entries are left to be given them
+    members = stored(members.join(shared, "bucket").join(sketches, "rep").select("bucket", "rep", "n_shingles", "bits", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
