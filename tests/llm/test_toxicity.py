@@ -8,7 +8,7 @@ DOCS, LABELS = "doc_id long, text string, score string, toxic string", "doc_id l
 
 
 def test_held_out_documents(spark, middle):
-    """Part of the labels has no cause in the text; what the model flags is toxic, and it finds the rest."""
+    """At this scale about half of the toxic documents are found; what is flagged is toxic."""
     from evalloom.llm.queries import op10_toxicity
 
     sf_dir = middle.replace("0.01", "0.1")
