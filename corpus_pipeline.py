@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from evalloom.llm import minhash, mixing, pieces, secrets, toxicity
 from evalloom.llm.shared import stored
 
+#: Words in a shingle of the near-duplicate stage; op2's contract of two is its own.
+SHINGLE_WORDS = 5
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -17,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """The document with the smallest id of each group of near-duplicates by five-word shingles stays."""
+    gone = minhash.near_duplicates(docs, SHINGLE_WORDS).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,6 +1,6 @@
 """Near-duplicate documents by one-permutation MinHash, banded buckets and star-shaped candidate edges.
 
-A document's set holds its distinct 2-word shingles, as 64-bit hashes. One pass over a set keeps the least hash of each of BINS
+A document's set holds its distinct shingles of `width` words (2 unless the caller says otherwise), as 64-bit hashes; a text of fewer words is one shingle. One pass over a set keeps the least hash of each of BINS
 bins; an empty bin takes the value of the first filled bin in an order of its own (optimal densification). Runs of ROWS
 bins are bands, and equal bands put documents into one bucket. Documents of equal sets are one class, and only its smallest
 id goes into buckets.
@@ -41,6 +41,8 @@ PAIR_BYTES = 2 << 20
 #: Times as many centres a bucket in each round.
 MORE = 64
 PARITY = 1024
+#: Words in a shingle, by op2's contract.
+WIDTH = 2
 SALTS = 8
 PERCENT = 80
 _U = np.uint64
@@ -50,7 +52,7 @@ with np.errstate(over="ignore"):
     _ORDER = np.argsort(mixed(np.arange(BINS * BINS, dtype=_U) * _U(BASES[0])).reshape(BINS, BINS), axis=1)
 
 
-def shingle_sets(column: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after the other, and the bounds of each text's part."""
     words = words_of(column, lower=True)
     hashes, counts = word_hash(words), np.diff(words.bounds)
@@ -119,11 +121,11 @@ def bands(rows: np.ndarray) -> np.ndarray:
         return key
 
 
-def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         texts = batch.column(1)
         for lo, hi in text_slices(texts):
-            values, bounds = shingle_sets(texts.slice(lo, hi - lo))
+            values, bounds = shingle_sets(texts.slice(lo, hi - lo), width)
             sizes = np.diff(bounds)
             some = np.flatnonzero(sizes)
             keys = np.zeros((hi - lo, BANDS), np.int64)
@@ -141,7 +143,7 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(one), pa.array(two), lists, bits], ["doc_id", "n_shingles", "one", "two", "bands", "bits"])
 
 
-def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b, text_a, text_b) that are linked."""
     for batch in rows:
         sizes = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)))
@@ -149,7 +151,7 @@ def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to in pairwise(dict.fromkeys([0, *cuts, len(batch)])):
             part = batch.slice(at, to - at)
             left, right = (part.column(k).cast(pa.large_string()).cast(pa.string()) for k in (2, 3))
-            (x, xs), (y, ys) = shingle_sets(left), shingle_sets(right)
+            (x, xs), (y, ys) = shingle_sets(left, width), shingle_sets(right, width)
             keep = []
             for k in range(len(part)):
                 p, q = x[xs[k] : xs[k + 1]], y[ys[k] : ys[k + 1]]
@@ -173,10 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text), by shingles of so many words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>, bits array<long>"), "sketch")
+    sketch = stored(docs.mapInArrow(lambda rows: _sketch(rows, width), "doc_id long, n_shingles long, one long, two long, bands array<long>, bits array<long>"), "sketch")
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["one", "two", "n_shingles"]
     classes = named.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         found = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-        found = stored(found.mapInArrow(_compare, "a long, b long"), "links")
+        found = stored(found.mapInArrow(lambda rows: _compare(rows, width), "a long, b long"), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
         now = members.join(chosen.select("bucket", F.col("centre.rep").alias("rep")), ["bucket", "rep"], "left_anti").drop("component")

@@ -19,7 +19,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=2)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

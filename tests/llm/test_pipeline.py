@@ -1,5 +1,6 @@
 """The pipeline: what each stage does to what its predecessor kept."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -36,3 +37,29 @@ def test_entry_point_has_all_queries():
     names = [*entry.queries()]
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert {*entry.oracle_sql()} <= {*names}
+
+
+def test_near_duplicates_by_five_words(spark):
+    """A text with scattered changes is close by pairs of words only, and stays; one with few changes goes."""
+    rng = random.Random(4)
+    rows = []
+    for base in range(12):
+        text = [f"b{base}w{i}" for i in range(200)]
+        rows += [text, [f"x{base}" + w if i % 20 == 7 else w for i, w in enumerate(text)], [f"y{base}" + w if i in (50, 120) else w for i, w in enumerate(text)]]
+        short = [rng.choice(["a", "b", "c"]) for _ in range(rng.randint(1, 9))]
+        rows += [short, short + short[:2]]
+    rows += ["a b a".split(), "a b a b a".split(), [], "q r s t".split(), "Q r s T".split(), "q r s t u".split()]
+    frame = spark.createDataFrame([(i, " ".join(w), 1) for i, w in enumerate(rows)], "doc_id long, text string, n_chars long")
+
+    def kept(width):
+        sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in ([x.lower() for x in w] for w in rows)]
+        of = [*range(len(rows))]
+        for _ in rows:
+            for a in range(len(rows)):
+                for b in range(a):
+                    if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        of[a] = of[b] = min(of[a], of[b])
+        return {i for i, c in enumerate(of) if i == c}
+
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == kept(5) != kept(2)
+    assert {1, 6, 11} <= kept(5) and not {2, 7, 12} & kept(5) and not {1, 6, 11} & kept(2)
