@@ -44,3 +44,15 @@ def test_repeated_rows_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "a b", "s", "", "", 0)] * 3 + [(None, "a b", "s", "", "", 0)], SCHEMA)
     assert quality.quality(frame, limit=1).count() == 4
     assert quality.quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_without_frequent_lines(spark):
+    """Frequent lines go wherever and however often they stand; all others stay as they are."""
+    menu = "Home | About  us"
+    rows = [(i, f"{menu}\n\n  Own line {i}\n{menu.upper()} \nlast {i}\n\n", "a") for i in range(4)]
+    rows += [(10, menu, "a"), (11, f"{menu}\n{menu}\n", "a"), (12, f"{menu}\nx", "b"), (13, None, "a"), (14, "", "a"), (15, f"one\n{menu}\r\n\ttwo", "a"), (16, f"x\n{menu}", None), (0, rows[0][1], "a")]
+    frame = spark.createDataFrame([(*r, "m", "n", 0) for r in rows], SCHEMA)
+    found = quality.quality(frame, limit=3)
+    want = {i: f"\n  Own line {i}\nlast {i}\n\n" for i in range(4)} | {10: "", 11: "", 12: f"{menu}\nx", 13: None, 14: "", 15: "one\n\ttwo", 16: f"x\n{menu}"}
+    assert sorted((r.doc_id, r.cleaned or "", r.cleaned is None) for r in found.collect()) == sorted((i, want[i] or "", want[i] is None) for i, _, _ in rows)
+    assert {r.doc_id: r.cleaned for r in quality.quality(frame, limit=30).collect()} == {i: t for i, t, _ in rows}
