@@ -30,7 +30,7 @@ from .shared import PUNCTUATION, mixed, stored, text_slices, word_hash, words_of
 SAMPLE = 4000
 #: Standard errors of a discount; those with the best cross-fitted likelihood are taken.
 ERRORS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
-#: Below this many documents a pair, or contexts a word, nothing is beyond even the smallest discount.
+#: Below this many documents a pair, or contexts a word, nothing is beyond even the smallest discount; sums, also of each context, are over all of them.
 LEAST = 2
 REJECT = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -77,15 +77,15 @@ class Model(NamedTuple):
     rest: np.ndarray
 
     @classmethod
-    def of(cls, pairs, words, totals, errors: float) -> Model:
-        """pairs: (before, word, counts); words: (word, continuations); totals: sums of counts and of continuations over all, those not given included."""
+    def of(cls, pairs, contexts, words, totals, errors: float) -> Model:
+        """pairs: (before, word, counts); contexts: (before, sums of counts over all pairs, those not given included), of each context in pairs; words: (word, continuations); totals: sums of counts and of continuations over all, those not given included."""
         own = _own(pairs[2], totals[0], errors)
         some = own.max(axis=1, initial=0) > 0
-        contexts, place = np.unique(pairs[0], return_inverse=True)
-        size, kept = np.zeros((len(contexts), 2)), np.zeros((len(contexts), 2))
-        np.add.at(size, place, pairs[2])
+        by = np.argsort(contexts[0])
+        contexts, size = contexts[0][by], np.maximum(contexts[1][by], 1)
+        place = np.searchsorted(contexts, pairs[0])
+        kept = np.zeros((len(contexts), 2))
         np.add.at(kept, place, own)
-        size = np.maximum(size, 1)
         used = kept.max(axis=1, initial=0) > 0
         key = _pair_key(pairs[0][some], pairs[1][some])
         order = np.argsort(key)
@@ -178,6 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     follow = pairs.groupBy("w").agg(*(F.count_if(F.expr(x)).alias(n) for n, x in seen.items()))
     sums = {**pairs.agg(*(F.sum(c).alias(c) for c in cells)).first().asDict(), **follow.agg(*(F.sum(n).alias(n) for n in seen)).first().asDict()}
     kept = pairs.where(F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= LEAST).toPandas()
+    together = sum(F.col(c) for c in cells)
+    around = pairs.groupBy("v").agg(*(F.sum(c).alias(c) for c in cells), F.max(together).alias("most")).where(F.col("most") >= LEAST).toPandas()
     words = follow.where(F.col("n0") + F.col("n1") >= LEAST).toPandas()
 
     def model(halves: tuple[int, ...], errors: float) -> Model:
@@ -187,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
         def continuations(of):
             return np.column_stack([of[f"n{k}" if len(halves) > 1 else f"n{k}{halves[0]}"] for k in (0, 1)]).astype(np.float64)
 
-        names = [t[c].to_numpy().view(_U) for t, c in ((kept, "v"), (kept, "w"), (words, "w"))]
+        names = [t[c].to_numpy().view(_U) for t, c in ((kept, "v"), (kept, "w"), (around, "v"), (words, "w"))]
         totals = [np.array([sum(sums[f"c{2 * k + h}"] or 0 for h in halves) for k in (0, 1)], np.float64), np.array([sums[f"n{k}" if len(halves) > 1 else f"n{k}{halves[0]}"] or 0 for k in (0, 1)], np.float64)]
-        return Model.of((names[0], names[1], counts(kept)), (names[2], continuations(words)), totals, errors)
+        return Model.of((names[0], names[1], counts(kept)), (names[2], counts(around)), (names[3], continuations(words)), totals, errors)
 
     halves = texts.sparkSession.sparkContext.broadcast([[model((h,), e) for h in _HALVES] for e in ERRORS])
 

@@ -2,6 +2,8 @@
 
 import zlib
 
+import pyarrow as pa
+
 from evalloom.llm import toxicity
 
 DOCS, LABELS = "doc_id long, text string, score string, toxic string", "doc_id long, toxic int, text string"
@@ -60,3 +62,15 @@ def test_edges(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), known).count() == 0
     kept = toxicity.rated(frame, frame, known)
     assert [c for c in kept.columns if c not in ("score", "predicted")] == ["doc_id", "text", "toxic"]
+
+
+def test_context_totals_are_over_all_pairs(spark):
+    """A word after which one word comes in each toxic document, and nine others in one document each, has a tenth of its mass on the first."""
+    docs = [(i, "see " + " see ".join(["vile" if i % 2 else "plain", *(f"u{i}x{k}" for k in range(9))]), "s", "t") for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, "") for i in range(240)], LABELS).select("doc_id", "toxic")
+    fitted = toxicity.fit(spark.createDataFrame(docs, DOCS).select("doc_id", "text"), labels)
+    hashes, before, _ = toxicity._pairs(pa.array(["see vile"]))
+    known, at = toxicity._place(fitted[0].pairs, toxicity._pair_key(before[1:], hashes[1:]))
+    assert known[0] and 0 < fitted[0].pair_chances[at[0], 1] <= 0.1
+    known, at = toxicity._place(fitted[0].contexts, before[1:])
+    assert known[0] and fitted[0].context_rest[at[0], 1] >= 0.9
