@@ -40,8 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces, and whether these decode to the text again."""
-    model_file = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.decode(pieces.encode(docs, model_file), model_file)
+    rows = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
     return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 

@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -80,13 +80,13 @@ class PieceTable:
                     break
         self.automaton = ahocorasick.Automaton()
         for piece in self.parts:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         inner = {c for p in self.ids for c in p[1:] if p.strip(SPACE)}
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if SPACE not in inner and not any("\n" in p for p in self.ids) else r"(?s).+")
         self.compatible = Remembered(lambda pair: self._apart(*pair))
         self.encoded = Remembered(self._encode)
-        self.numbers = _Numbers(self.ids, self.byte_ids)
+        self.blobs = _Blobs(self.ids, self.byte_ids)
         # A byte from 0x80 stands as the half character that Python decodes it to, until the text is whole.
         self.texts = [bytes((self.bytes[i],)).decode("ascii", "surrogateescape") if i in self.bytes else (" \u2047 " if model.is_unknown(i) else "") if special[i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
 
@@ -117,30 +117,24 @@ class PieceTable:
                 done[-2:] = [done[-2] + done[-1]]
         return done
 
-    def _encode(self, stretch: str) -> tuple[int, ...]:
+    def _encode(self, stretch: str) -> bytes:
         spaces = len(stretch) - len(stretch.lstrip(SPACE)) if self.runs else 0
         found = self._last_pieces(stretch[max(0, spaces - 1) :])
         if spaces > 1:
             found = self._run(spaces) + found[1:] if found[0] == SPACE else self._run(spaces - 1) + found
-        return np.array([*chain.from_iterable(self.numbers[p] for p in found)], np.int32).tobytes()
+        return b"".join(map(self.blobs.__getitem__, found))
 
     def _last_pieces(self, stretch: str) -> list[str]:
-        last, compatible = [""], self.compatible
-        ending = self.automaton.iter(stretch)  # by end, of equal ends the longest first
-        at, piece = next(ending, (-1, ""))
-        for end, char in enumerate(stretch):
-            chosen = None
-            while at == end:
-                start = end + 1 - len(piece)
-                if chosen is None and (not start or compatible[last[start], piece]):
-                    chosen = piece
-                at, piece = next(ending, (-1, ""))
-            last.append(chosen or char)
+        last, compatible, done = ["", *stretch], self.compatible, -1
+        for end, (n, piece) in self.automaton.iter(stretch):  # by end, of equal ends the longest first
+            if end != done and (end + 1 == n or compatible[last[end + 1 - n], piece]):
+                last[end + 1], done = piece, end
         found, at = [], len(stretch)
         while at:
-            found.append(last[at])
-            at -= len(last[at])
-        return found[::-1]
+            found.append(piece := last[at])
+            at -= len(piece)
+        found.reverse()
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -154,15 +148,15 @@ class PieceTable:
         return text[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else text
 
 
-class _Numbers(dict):
-    """Ids by piece; a character without a piece has those of its bytes."""
+class _Blobs(dict):
+    """Ids by piece, as bytes of 32-bit numbers; a character without a piece has those of its bytes."""
 
     def __init__(self, ids: dict[str, int], byte_ids: dict[int, int]):
-        super().__init__((p, (i,)) for p, i in ids.items())
+        super().__init__((p, np.int32(i).tobytes()) for p, i in ids.items())
         self.byte_ids = byte_ids
 
-    def __missing__(self, char: str) -> tuple[int, ...]:
-        return tuple(self.byte_ids[b] for b in char.encode())
+    def __missing__(self, char: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in char.encode()], np.int32).tobytes()
 
 
 @lru_cache(1)
@@ -179,24 +173,35 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.names[i] for i in kept), name])
 
 
-def _schema(frame: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in frame.schema.fields if f.name != name), T.StructField(name, kind)])
+def _schema(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the ids of each whole text. model_file: a path that all machines have, or sparkfiles:NAME after addFile."""
+def _encoded(table: PieceTable, texts: pa.Array) -> pa.ListArray:
+    found = [table.encode(t) for t in texts.to_pylist()]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate(found))
+
+
+def _decoded(table: PieceTable, ids: pa.ListArray) -> pa.Array:
+    values = ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([table.decode(values[a:b].tolist()) for a, b in pairwise(ids.offsets.to_pylist())], pa.string())
+
+
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the ids of each whole text, and in the same pass, if decoded names a column, the text that these stand for. model_file: a path that all machines have, or sparkfiles:NAME after addFile."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(_path(model_file))
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in text_slices(column, SLICE):
-                found = [table.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                yield _with_column(batch.slice(lo, hi - lo), ids, pa.ListArray.from_arrays(ends, np.concatenate(found)))
+                found = _encoded(table, column.slice(lo, hi - lo))
+                part = _with_column(batch.slice(lo, hi - lo), ids, found)
+                yield _with_column(part, decoded, _decoded(table, found)) if decoded else part
 
     docs = docs.withColumn(text, F.col(text).cast("string"))
-    return docs.mapInArrow(batches, _schema(docs, ids, T.ArrayType(T.IntegerType())))
+    schema = _schema(docs.schema, ids, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(batches, _schema(schema, decoded, T.StringType()) if decoded else schema)
 
 
 def decode(frame: DataFrame, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -205,12 +210,9 @@ def decode(frame: DataFrame, model_file: str, ids: str = "ids", decoded: str = "
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(_path(model_file))
         for batch in rows:
-            column = batch.column(batch.schema.get_field_index(ids))
-            ends = column.offsets.to_pylist()
-            values = column.values.to_numpy(zero_copy_only=False)
             for lo in range(0, len(batch), 256):
-                texts = [table.decode(values[a:b].tolist()) for a, b in pairwise(ends[lo : lo + 257])]
-                yield _with_column(batch.slice(lo, 256), decoded, pa.array(texts, pa.string()))
+                part = batch.slice(lo, 256)
+                yield _with_column(part, decoded, _decoded(table, part.column(part.schema.get_field_index(ids))))
 
     frame = frame.withColumn(ids, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")))
-    return frame.mapInArrow(batches, _schema(frame, decoded, T.StringType()))
+    return frame.mapInArrow(batches, _schema(frame.schema, decoded, T.StringType()))

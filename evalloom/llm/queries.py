@@ -23,10 +23,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model_file = public_tokenizers.path(PIECES)
-    ids = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model_file).select("doc_id", "ids")
-    decoded = pieces.decode(ids, model_file)
-    return decoded.select(
+    rows = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(PIECES), decoded="decoded")
+    return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

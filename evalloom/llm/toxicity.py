@@ -7,8 +7,10 @@ share, so that rare and evenly spread expressions count the same in either. The
 a text, over its number of words, becomes a probability by a logistic curve. Curve and discount are fitted to documents that were scored
 by models of the other half of the sample, and weighted to the share of toxic labels.
 
-The models are fitted on at most SAMPLE labelled documents a class, chosen by a hash of the id; labels are counted over
-all rows. Words are runs between white space and ASCII punctuation, A-Z as a-z; a document counts once for a pair of words.
+The models are fitted on at most SAMPLE labelled documents a class, chosen by a hash of the id, and on at most PER_RARER times as many of
+one class as the other has: numbers of different contexts do not grow with the text in proportion, so that models of
+unequal sizes differ by more than their words. Labels are counted over all rows. Only what has something of its own under the least discount, with its context
+and its word, is brought to the driver: anything else has the same chance in both models but for the backoff's share. Words are runs between white space and ASCII punctuation, A-Z as a-z; a document counts once for a pair of words.
 
 Defined results: null and empty texts have a difference of 0 and the curve's value there; a row with a null id is not held out; a document with several labels
 is toxic if one of them is; without labels of both classes all scores are 0; repeated rows get equal scores; other columns
@@ -17,7 +19,9 @@ play no part; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,10 +32,10 @@ from pyspark.sql import functions as F
 from .shared import PUNCTUATION, mixed, stored, text_slices, word_hash, words_of
 
 SAMPLE = 4000
+#: Documents of the commoner class for each of the rarer one.
+PER_RARER = 1.0
 #: Standard errors of a discount; those with the best cross-fitted likelihood are taken.
-ERRORS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
-#: Below this many documents a pair, or contexts a word, nothing is beyond even the smallest discount; sums, also of each context, are over all of them.
-LEAST = 2
+ERRORS = (2.0, 3.0, 4.0, 5.0, 6.0)
 REJECT = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 _U = np.uint64
@@ -65,6 +69,17 @@ def _own(counts: np.ndarray, totals: np.ndarray, errors: float) -> np.ndarray:
     return np.maximum(counts - expected - errors * np.sqrt(counts + rate**2 * (counts[:, ::-1] + 1) + 1), 0)
 
 
+def _may_own(counts: list[Column], totals: np.ndarray) -> Column:
+    """False only if neither class has anything of its own (see _own) under the least discount."""
+    rate = (totals / np.maximum(totals[::-1], 1)).tolist()
+
+    def own(k: int) -> Column:
+        mine, other = counts[k], counts[1 - k]
+        return mine - other * rate[k] - ERRORS[0] * F.sqrt(mine + rate[k] ** 2 * (other + 1) + 1) > -1e-6
+
+    return own(0) | own(1)
+
+
 class Model(NamedTuple):
     """Sorted hashes with what each stands for; columns are ordinary and toxic. Pairs, contexts and words that are not here have nothing of their own."""
 
@@ -78,7 +93,7 @@ class Model(NamedTuple):
 
     @classmethod
     def of(cls, pairs, contexts, words, totals, errors: float) -> Model:
-        """pairs: (before, word, counts); contexts: (before, sums of counts over all pairs, those not given included), of each context in pairs; words: (word, continuations); totals: sums of counts and of continuations over all, those not given included."""
+        """pairs: (before, word, counts); contexts: (before, sums of counts over all pairs, those not given included), of each context in pairs; words: (word, continuations), of each word in pairs and of those with something of their own; totals: sums of counts and of continuations over all, those not given included."""
         own = _own(pairs[2], totals[0], errors)
         some = own.max(axis=1, initial=0) > 0
         by = np.argsort(contexts[0])
@@ -158,7 +173,12 @@ def _curve(values: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float,
     return float(-(weights * np.log(np.where(toxic == 1, p, 1 - p))).sum()), beta[0] / scale, beta[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float, float] | None:
+def _seen(toxic: int, halves: tuple[int, ...]) -> str:
+    """The name of the column with the contexts that a class's documents, of a half or of both, have."""
+    return f"n{toxic}" if len(halves) > 1 else f"n{toxic}{halves[0]}"
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, per_rarer: float = PER_RARER) -> tuple[Model, float, float] | None:
     """The model, slope and intercept from (doc_id, text) and (doc_id, toxic); rows that are held out teach nothing."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -166,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     if not share or share == 1:
         return None
     rarer = known.groupBy("toxic").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
-    sample = min(sample, rarer)  # as many of either: numbers of different contexts do not grow with the text in proportion
+    sample = min(sample, math.ceil(rarer * per_rarer))
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = chosen[0].union(chosen[1]).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     texts = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "half")  # at most two rows a sampled document
@@ -174,24 +194,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     cells = ["c0", "c1", "c2", "c3"]
     pairs = texts.mapInArrow(_count, "v long, w long, " + ", ".join(f"{c} long" for c in cells)).groupBy("v", "w").agg(*(F.sum(c).alias(c) for c in cells))
     pairs = stored(pairs, "pairs")
-    seen = {f"n{k}{h}": f"c{2 * k + h} > 0" for k in (0, 1) for h in _HALVES} | {f"n{k}": f"c{2 * k} + c{2 * k + 1} > 0" for k in (0, 1)}
+    seen = {_seen(k, (h,)): f"c{2 * k + h} > 0" for k in (0, 1) for h in _HALVES} | {_seen(k, _HALVES): f"c{2 * k} + c{2 * k + 1} > 0" for k in (0, 1)}
     follow = pairs.groupBy("w").agg(*(F.count_if(F.expr(x)).alias(n) for n, x in seen.items()))
     sums = {**pairs.agg(*(F.sum(c).alias(c) for c in cells)).first().asDict(), **follow.agg(*(F.sum(n).alias(n) for n in seen)).first().asDict()}
-    kept = pairs.where(F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= LEAST).toPandas()
-    together = sum(F.col(c) for c in cells)
-    around = pairs.groupBy("v").agg(*(F.sum(c).alias(c) for c in cells), F.max(together).alias("most")).where(F.col("most") >= LEAST).toPandas()
-    words = follow.where(F.col("n0") + F.col("n1") >= LEAST).toPandas()
+    parts = ((0,), (1,), _HALVES)
+    totals = {p: [np.array([sum(sums[f"c{2 * k + h}"] or 0 for h in p) for k in (0, 1)], np.float64), np.array([sums[_seen(k, p)] or 0 for k in (0, 1)], np.float64)] for p in parts}
+    kept = stored(pairs.where(reduce(Column.__or__, (_may_own([sum(F.col(f"c{2 * k + h}") for h in p) for k in (0, 1)], totals[p][0]) for p in parts))), "kept")
+    around = pairs.join(kept.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*(F.sum(c).alias(c) for c in cells)).toPandas()
+    apart = reduce(Column.__or__, (_may_own([F.col(_seen(k, p)) for k in (0, 1)], totals[p][1]) for p in parts))
+    words = follow.where(apart).union(follow.join(kept.select("w").distinct(), "w", "left_semi")).distinct().toPandas()
+    kept = kept.toPandas()
 
     def model(halves: tuple[int, ...], errors: float) -> Model:
         def counts(of):
             return np.column_stack([sum(of[f"c{2 * k + h}"] for h in halves) for k in (0, 1)]).astype(np.float64)
 
-        def continuations(of):
-            return np.column_stack([of[f"n{k}" if len(halves) > 1 else f"n{k}{halves[0]}"] for k in (0, 1)]).astype(np.float64)
-
         names = [t[c].to_numpy().view(_U) for t, c in ((kept, "v"), (kept, "w"), (around, "v"), (words, "w"))]
-        totals = [np.array([sum(sums[f"c{2 * k + h}"] or 0 for h in halves) for k in (0, 1)], np.float64), np.array([sums[f"n{k}" if len(halves) > 1 else f"n{k}{halves[0]}"] or 0 for k in (0, 1)], np.float64)]
-        return Model.of((names[0], names[1], counts(kept)), (names[2], counts(around)), (names[3], continuations(words)), totals, errors)
+        continuations = np.column_stack([words[_seen(k, halves)] for k in (0, 1)]).astype(np.float64)
+        return Model.of((names[0], names[1], counts(kept)), (names[2], counts(around)), (names[3], continuations), totals[halves], errors)
 
     halves = texts.sparkSession.sparkContext.broadcast([[model((h,), e) for h in _HALVES] for e in ERRORS])
 
@@ -204,22 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
                 yield pa.RecordBatch.from_arrays([*found, batch.column(1).slice(lo, hi - lo)], [*names, "toxic"])
 
     names = [f"x{k}" for k in range(len(ERRORS))]
-    rated = texts.mapInArrow(cross, ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas()
-    if rated["toxic"].nunique() < 2:
+    found = texts.mapInArrow(cross, ", ".join(f"{n} double" for n in names) + ", toxic int").toPandas()  # a row a sampled document
+    halves.unpersist()
+    if found["toxic"].nunique() < 2:
         return None
-    curves = [_curve(rated[n].to_numpy(), rated["toxic"].to_numpy(), share) for n in names]
+    curves = [_curve(found[n].to_numpy(), found["toxic"].to_numpy(), share) for n in names]
     best = min(range(len(curves)), key=lambda k: curves[k][0])
     return model(_HALVES, ERRORS[best]), *curves[best][1:]
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT, per_rarer: float = PER_RARER) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of (doc_id, text)."""
-    return rated(docs.select("doc_id", "text"), docs, labels, sample, reject).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return rated(docs.select("doc_id", "text"), docs, labels, sample, reject, per_rarer).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def rated(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
+def rated(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, reject: float = REJECT, per_rarer: float = PER_RARER) -> DataFrame:
     """rows with score and predicted added, by a model of docs and labels; columns of these names are replaced."""
-    fitted = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
+    fitted = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample, per_rarer)
     if fitted is None:
         return rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     model, slope, intercept = rows.sparkSession.sparkContext.broadcast(fitted[0]), fitted[1], fitted[2]

@@ -1,8 +1,15 @@
 """Toxicity: held-out accuracy, and edges."""
 
+import math
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from evalloom.llm import toxicity
 
@@ -74,3 +81,83 @@ def test_context_totals_are_over_all_pairs(spark):
     assert known[0] and 0 < fitted[0].pair_chances[at[0], 1] <= 0.1
     known, at = toxicity._place(fitted[0].contexts, before[1:])
     assert known[0] and fitted[0].context_rest[at[0], 1] >= 0.9
+
+
+def plain_words(text):
+    text = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return [w for w in re.split(r"[\x00-\x2f:-@\[-`{-\x7f]+", text) if w]
+
+
+def plain_model(texts, errors):
+    """A function that gives the mean log ratio of a text, from (text, toxic) and dictionaries alone."""
+    counts, follow = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for text, toxic in texts:
+        words = plain_words(text)
+        for pair in {*zip([None, *words], words)}:
+            counts[pair][toxic] += 1
+    for (_, w), c in counts.items():
+        for k in (0, 1):
+            follow[w][k] += c[k] > 0
+
+    def own(table):
+        total = [sum(c[k] for c in table.values()) for k in (0, 1)]
+        found = {}
+        for name, c in table.items():
+            rate = [total[k] / max(total[1 - k], 1) for k in (0, 1)]
+            found[name] = [max(0, c[k] - c[1 - k] * rate[k] - errors * math.sqrt(c[k] + rate[k] ** 2 * (c[1 - k] + 1) + 1)) for k in (0, 1)]
+        return found, total
+
+    pairs, _ = own(counts)
+    words, total = own(follow)
+    context, kept = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (v, w), c in counts.items():
+        for k in (0, 1):
+            context[v][k] += c[k]
+            kept[v][k] += pairs[v, w][k]
+    rest = [1 - sum(x[k] for x in words.values()) / max(1, total[k]) for k in (0, 1)]
+    everything = max(1, sum(total) - sum(sum(x) for x in words.values()))
+
+    def chance(v, w, k):
+        shared = (sum(follow[w]) - sum(words[w]) + 0.5) / everything if w in follow else 1e-9
+        backoff = (words[w][k] / max(1, total[k]) if w in follow else 0) + rest[k] * shared
+        size = max(1, context[v][k]) if v in context else 1
+        mine, left = pairs[v, w][k] if (v, w) in pairs else 0, 1 - kept[v][k] / size if v in context else 1
+        return mine / size + left * backoff
+
+    def ratio(text):
+        found = plain_words(text)
+        return sum(math.log(chance(v, w, 1)) - math.log(chance(v, w, 0)) for v, w in zip([None, *found], found)) / max(1, len(found))
+
+    return ratio
+
+
+def plain_scores(docs, labels, half):
+    texts = {i: (t, labels[i]) for i, t in docs if i in labels and zlib.crc32(str(i).encode()) % 4 != 2}
+    toxic = np.array([c for _, c in texts.values()], float)
+    curves = []
+    for errors in toxicity.ERRORS:
+        models = [plain_model([x for i, x in texts.items() if half[i] == h], errors) for h in (0, 1)]
+        values = np.array([models[1 - half[i]](t) for i, (t, _) in texts.items()])
+        curves.append(toxicity._curve(values, toxic, toxic.mean()))
+    best = min(range(len(curves)), key=lambda k: curves[k][0])
+    model = plain_model([*texts.values()], toxicity.ERRORS[best])
+    return {i: 1 / (1 + math.exp(-(curves[best][1] * model(t) + curves[best][2]))) for i, t in docs}
+
+
+def test_scores_equal_a_plain_version(spark):
+    draw = random.Random(5)
+    names = [f"w{k}" for k in range(60)]
+    docs, labels = [], {}
+    for i in range(300):
+        words = [names[min(int(draw.expovariate(0.08)), 59)] for _ in range(draw.randrange(1, 60))]
+        labels[i] = int(draw.random() < 0.3)
+        if draw.random() < (0.9 if labels[i] else 0.05):
+            words[:0] = draw.choice([["vile", "scum"], ["horrid"], ["Vile-Thing"]])
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    half = {r.doc_id: r.half for r in frame.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")).collect()}
+    known = spark.createDataFrame([(i, c, "") for i, c in labels.items() if i % 10], LABELS)
+    want = plain_scores(docs, {i: c for i, c in labels.items() if i % 10}, half)
+    found = {r.doc_id: r.score for r in toxicity.score(frame, known, per_rarer=100.0).collect()}
+    assert found == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert len({round(x, 6) for x in found.values()}) > 100
