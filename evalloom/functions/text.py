@@ -19,7 +19,7 @@ TOKEN = "[A-Za-z0-9']+"
 
 def blank(value: Column) -> Column:
     """Null, empty or white space only."""
-    return value.isNull() | (stripped(value) == "")
+    return value.isNull() | ~F.regexp_like(value, F.lit(f"[^{SPACES[1:-2]}]"))
 
 
 def stripped(text: Column) -> Column:
@@ -51,7 +51,8 @@ def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by spaces; none if there are fewer words."""
 
     def runs(w: Column) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        run = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))))
+        return F.when(F.size(w) >= n, run).otherwise(F.array().cast("array<string>"))
 
     return let(words, runs)
 
@@ -90,9 +91,12 @@ def signals(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(flag, F.lit(name)) for name, flag in signal_flags(text).items())))
 
 
-def style_flags(text: Column) -> dict[str, Column]:
+def style_flags(text: Column, its_tokens: Column | None = None) -> dict[str, Column]:
+    """its_tokens: a column that holds tokens(text) already."""
+    found_tokens = tokens(text) if its_tokens is None else its_tokens
+
     def any_of(words: Sequence[str]) -> Column:
-        return F.arrays_overlap(tokens(text), F.array(*map(F.lit, words)))
+        return F.arrays_overlap(found_tokens, F.array(*map(F.lit, words)))
 
     found = (
         F.contains(text, F.lit("?")),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as T
+from ..session import settled
 from . import sampling
 
 POLICIES = ("cross_class", "same_class", "none")
@@ -74,7 +75,7 @@ def filled(template: str, **values: Column) -> Column:
 
 def numbered(rows: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds n, the place in the order from 1 (within a group): places within sorted partitions, plus the rows of those before."""
-    ordered = rows.orderBy(*by, order).withColumn("__m", F.monotonically_increasing_id())
+    ordered = settled(rows.orderBy(*by, order).withColumn("__m", F.monotonically_increasing_id()))  # both readers must see the same partitions
     part = F.shiftright("__m", 33)
     sizes = ordered.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition

@@ -18,11 +18,10 @@ def missing_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_stats(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, mean, median, min, max, std): the population's deviation; zeros without rows."""
-    v = value
-    zero = F.lit(0.0)
+    """(by, n, mean, median, min, max, std): the population's deviation; zeros without rows. The median keeps a group's distinct values, so it is for counts and lengths."""
+    v, zero = F.col("__v"), F.lit(0.0)
     found = (F.avg(v), F.median(v), F.min(v).cast("double"), F.max(v).cast("double"), F.stddev_pop(v))
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), *(F.coalesce(x, zero).alias(n) for x, n in zip(found, ("mean", "median", "min", "max", "std"), strict=True)))
+    return rows.select(*by, value.alias("__v")).groupBy(*by).agg(F.count(v).alias("n"), *(F.coalesce(x, zero).alias(n) for x, n in zip(found, ("mean", "median", "min", "max", "std"), strict=True)))
 
 
 def nonblank(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -38,11 +37,18 @@ def word_count_stats(rows: DataFrame, text: str = "text", by: Sequence[str] = ()
 
 
 def top_ngrams(rows: DataFrame, k: int, n: int = 1, text: str = "text", order: str = "doc_id", drop: Sequence[str] = ()) -> DataFrame:
-    """(ngram, n): the k most frequent; of equal counts the one seen first in the order of rows."""
+    """(ngram, n): the k most frequent; of equal counts the one seen first in the order of rows.
+
+    Counts and first rows decide but for n-grams of one row; only these, at most k and the n-grams of one row, are looked for again, in their first rows.
+    """
     grams = T.tokens(F.col(text), drop) if n == 1 else T.ngrams(T.tokens(F.col(text), drop), n)
-    seen = rows.select(order, F.posexplode(grams).alias("at", "ngram"))
-    counts = seen.groupBy("ngram").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
-    return counts.orderBy(F.desc("n"), "first").limit(k).select("ngram", "n")
+    counts = rows.select(order, F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    place = F.struct((-F.col("n")).alias("n"), "first")
+    last = counts.orderBy(F.desc("n"), "first").limit(k).agg(F.max(place).alias("last"))  # one row
+    found = counts.join(F.broadcast(last), place <= F.col("last")).drop("last")
+    again = rows.join(F.broadcast(found.select("first").distinct()), F.col(order).eqNullSafe(F.col("first")), "left_semi").select(order, F.posexplode(grams).alias("at", "gram"))
+    placed = found.join(again, (F.col("ngram") == F.col("gram")) & F.col("first").eqNullSafe(F.col(order))).groupBy("ngram", "n", "first").agg(F.min("at").alias("at"))
+    return placed.orderBy(F.desc("n"), "first", "at").limit(k).select("ngram", "n")
 
 
 def label_shares(rows: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -58,25 +64,26 @@ def first_examples(rows: DataFrame, k: int, by: Sequence[str], order: str = "doc
 
 def histogram(rows: DataFrame, value: Column, bins, by: Sequence[str] = ()) -> DataFrame:
     """(by, bin, n, share): every bin of every slice; values below the first bin count in it."""
-    which = F.lit(None).cast("string")
+    valued, v, which = rows.select(*by, value.alias("__v")), F.col("__v"), F.lit(None).cast("string")
     for low, high in reversed(bins):
-        which = F.lit(bin_label(low, high)) if high is None else F.when(value <= high, bin_label(low, high)).otherwise(which)
-    of = {bin_label(*b): F.count_if(which == bin_label(*b)) for b in bins}
-    wide = rows.where(value.isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"), *(c.alias(n) for n, c in of.items()))
+        which = F.lit(bin_label(low, high)) if high is None else F.when(v <= high, bin_label(low, high)).otherwise(which)
+    of = {bin_label(*b): F.count_if(F.col("__bin") == bin_label(*b)) for b in bins}
+    binned = valued.where(v.isNotNull()).select(*by, which.alias("__bin"))
+    wide = binned.groupBy(*by).agg(F.count("*").alias("__n"), *(c.alias(n) for n, c in of.items()))
     long = wide.unpivot([*by, "__n"], list(of), "bin", "n")
     return long.select(*by, "bin", "n", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("__n").cast("double")), F.lit(0.0)).alias("share"))
 
 
 def quantiles(rows: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, p10 .. p90) with linear interpolation, ends included."""
-    found = rows.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, F.array(*(F.lit(q / 100) for q in QUANTILES))).alias("q"))
+    found = rows.select(*by, value.alias("__v")).groupBy(*by).agg(F.count("__v").alias("n"), F.percentile("__v", F.array(*(F.lit(q / 100) for q in QUANTILES))).alias("q"))
     return found.select(*by, "n", *(F.coalesce(F.col("q")[k], F.lit(0.0)).alias(f"p{q}") for k, q in enumerate(QUANTILES)))
 
 
 def style_rates(rows: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """(by, one column a style, punctuation_density): shares of texts, and the mean density of those not empty."""
-    rates = (F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)).alias(name) for name, flag in T.style_flags(F.col(text)).items())
-    return rows.groupBy(*by).agg(*rates, F.coalesce(F.avg(T.punctuation_density(F.col(text))), F.lit(0.0)).alias("punctuation_density"))
+    rates = (F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)).alias(name) for name, flag in T.style_flags(F.col(text), F.col("__w")).items())
+    return rows.select(*by, text, T.tokens(F.col(text)).alias("__w")).groupBy(*by).agg(*rates, F.coalesce(F.avg(T.punctuation_density(F.col(text))), F.lit(0.0)).alias("punctuation_density"))
 
 
 def signal_rates(rows: DataFrame, text: str = "text", by: Sequence[str] = ("label",)) -> DataFrame:
