@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,17 +17,35 @@ def session(name: str = "evalloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where that is not set, a local one serves a local master; on a cluster each executor would write to its own disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.evalloom.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="evalloom-")
+        spark.conf.set("spark.evalloom.dir", folder)
+    return folder.rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, and a local one only where that is not set. It is deleted when the driver's JVM ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evalloom-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame, worked out once and written to the shared folder: what reads it sees the same rows even if executors are lost."""
-    path = shared_path(frame.sparkSession, "settled")
+def settled(frame: DataFrame, name: str = "settled") -> DataFrame:
+    """The frame, worked out once and written to the shared folder: its lineage ends there, and what reads it sees the same rows even if executors are lost."""
+    path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of settled frames that nothing is to read again."""
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            at = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
