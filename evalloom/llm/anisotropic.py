@@ -27,7 +27,8 @@ SAMPLE = 8192
 ROUNDS = 4
 #: Scores from this share of the largest possible one on matter.
 THRESHOLD = 0.2
-ROWS, QUERIES, STEP = 16384, 1024, 128
+#: A query block is as large as memory lets it be: rows are sent to each of these.
+ROWS, QUERIES, STEP = 16384, 8192, 128
 OPEN = 256
 SALTS = 32
 RESULT = "query_id long, vec_id long, score double"

@@ -7,7 +7,7 @@ probabilities in log space, and the text's probability is the product over its w
 so each distinct word is worked out once in a group of documents.
 
 Beside this stands the base score, from smoothed counts of whole words. Counts meet the documents without a
-broadcast: documents are dealt to groups of about GROUP_BYTES, a group sends its distinct words with its counts to tasks by range of
+broadcast: documents are dealt to groups of about GROUP_BYTES, row by row, a group sends its distinct words with its counts to tasks by range of
 hash, and these send back the counts of the whole corpus, in the same order. So a frequent word is one entry a group.
 
 Defined results: null and empty texts are an end alone; a row with a null id trains; characters without a piece are
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -36,6 +37,8 @@ ROUNDS = 2
 #: Pieces that the vocabulary's own scores count as, against those of the training words.
 PRIOR = 1000.0
 BLOCK = 4096
+#: Words of more characters are worked out one by one, in time in proportion to their length.
+LONG = 512
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _NONE = 0x110000
@@ -65,6 +68,7 @@ class Vocabulary:
         self.used = np.unique(used)
         table = {piece[:k]: -1 for piece in pieces for k in range(1, len(piece) + 1)} | pieces
         keys = np.array([self._hash(p) for p in table], _U)
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         order = np.argsort(keys)
         self.keys, self.numbers = keys[order], np.array([*table.values()])[order]
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -82,6 +86,50 @@ class Vocabulary:
         return self.keys[place] == hashes, self.numbers[place]
 
 
+class LongWord:
+    """One long word, place by place: what Lattice does for many short ones at once."""
+
+    def __init__(self, word: str, vocab: Vocabulary):
+        self.word, self.vocab = SPACE + word, vocab
+
+    def _arcs(self, end: int, logs: list[float]):
+        """(start, weight, pieces) of all that end at a place."""
+        word, pieces = self.word, self.vocab.pieces
+        for start in range(end - 1, max(-1, end - 1 - self.vocab.longest), -1):
+            number = pieces.get(word[start:end])
+            if number is not None:
+                yield start, logs[number], (number,)
+            elif start == end - 1:  # a character without a piece is its bytes
+                parts = tuple(self.vocab.bytes[[*word[start].encode("utf-8", "surrogatepass")]].tolist())
+                yield start, sum(logs[b] for b in parts), parts
+
+    def forward(self, logs: np.ndarray) -> array:
+        alpha, logs = array("d", [0.0]), logs.tolist()
+        for end in range(1, len(self.word) + 1):
+            alpha.append(_log_sum([alpha[start] + weight for start, weight, _ in self._arcs(end, logs)]))
+        return alpha
+
+    def expected(self, logs: np.ndarray, count: int) -> np.ndarray:
+        alpha, used, listed = self.forward(logs), np.zeros(self.vocab.size), logs.tolist()
+        beta = array("d", [-math.inf]) * len(alpha)
+        beta[-1] = 0.0
+        for end in range(len(self.word), 0, -1):  # all arcs from here on are in beta[end] by now
+            if beta[end] == -math.inf:
+                continue
+            for start, weight, parts in self._arcs(end, listed):
+                after = weight + beta[end]
+                beta[start] = _log_sum([beta[start], after])
+                share = math.exp(alpha[start] + after - alpha[-1]) * count
+                for b in parts:
+                    used[b] += share
+        return used
+
+
+def _log_sum(values: list[float]) -> float:
+    most = max(values, default=-math.inf)
+    return most if most == -math.inf else most + math.log(sum(math.exp(v - most) for v in values))
+
+
 @lru_cache(1)
 def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
@@ -150,8 +198,10 @@ class Lattice:
 
 
 def _blocks(words: list[str]):
-    """Words of about the same length together; short ones in larger blocks."""
-    order = np.argsort([len(w) for w in words], kind="stable")
+    """Words of about the same length together, short ones in larger blocks; long ones are left out."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    order = order[: np.searchsorted(lengths[order], LONG, "right")]
     at = 0
     while at < len(order):
         n = max(1, BLOCK * 8 // max(8, len(words[order[min(at + BLOCK, len(order)) - 1]])))
@@ -159,14 +209,30 @@ def _blocks(words: list[str]):
         at += n
 
 
+def _long(words: list[str]) -> list[int]:
+    return [k for k, w in enumerate(words) if len(w) > LONG]
+
+
 def log_probabilities(words: list[str], logs: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """The natural logarithm of each word's probability over all segmentations."""
     found = np.zeros(len(words))
     for block in _blocks(words):
         found[block] = Lattice([words[k] for k in block], vocab).forward(logs)[1]
+    for k in _long(words):
+        found[k] = LongWord(words[k], vocab).forward(logs)[-1]
     return found
 
 
+def expected_pieces(words: list[str], counts: np.ndarray, logs: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """How often each piece is used in words that come so many times."""
+    used = np.zeros(vocab.size)
+    for block in _blocks(words):
+        used += Lattice([words[k] for k in block], vocab).expected(logs, counts[block])
+    for k in _long(words):
+        used += LongWord(words[k], vocab).expected(logs, int(counts[k]))
+    return used
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -205,7 +271,8 @@ def score(docs: DataFrame, model_file: str) -> DataFrame:
     volume, ends = known["bytes"] or 0, known["ends"] or 0
     groups = max(1, math.ceil(volume / GROUP_BYTES))
     ranges = max(1, groups // 2)
-    grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int")).repartition(groups, "g")
+    # Rows are dealt out one by one, whatever they hold; the table makes that final.
+    grouped = stored(docs.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")), "groups")
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = _counts(table.column("text"), [not held_out(d) for d in table.column("doc_id").to_pylist()], ranges)
@@ -244,8 +311,7 @@ def score(docs: DataFrame, model_file: str) -> DataFrame:
             for batch in batches:
                 for words, counts in zip(batch.column(0), batch.column(1), strict=True):
                     words, counts = _open(words.as_py()).decode().split("\n"), np.frombuffer(_open(counts.as_py()), np.int64)
-                    for block in _blocks(words):
-                        used += Lattice([words[k] for k in block], vocab).expected(logs, counts[block])
+                    used += expected_pieces(words, counts, logs, vocab)
             some = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(used[some])], ["piece", "used"])
 

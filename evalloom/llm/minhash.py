@@ -15,7 +15,7 @@ centres: every pair of two components has such a member. Most buckets are done a
 With 32 bands of 5 a pair of similarity 0.8 shares no bucket with a chance of 3 in a million; higher ones less.
 
 Defined results: null and empty texts and those without words have empty sets and are linked with nothing; a row with a
-null id is linked with nothing and kept, its component is null; rows with equal ids are one document; other columns play no part;
+null id is linked with nothing and kept, its component is null; rows with equal ids are one document, linked by any of its texts; other columns play no part;
 an empty table gives an empty one.
 """
 
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASES, mixed, runs_hash, stored, text_slices, word_hash, words_of
+from .shared import BASES, dropped, mixed, runs_hash, stored, text_slices, word_hash, words_of
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
@@ -44,6 +44,8 @@ PARITY = 1024
 #: Words in a shingle, by op2's contract.
 WIDTH = 2
 SALTS = 8
+#: Entries of a bucket that meet its centres in one task, about.
+DEALT = 256
 PERCENT = 80
 _U = np.uint64
 
@@ -170,8 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         of = moved.select(F.col("node").alias("new"), F.col("new").alias("further"))
         moved = stored(moved.join(of, "new", "left").select("node", F.least("new", "further").alias("component"), "old"), "labels")
+        dropped(labels)
         labels = moved.select("node", "component")
         if moved.where("component <> old").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -185,28 +189,36 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = stored(classes.where("n > 1").select(*same, "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "classes")
     of = named.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(classes, [*same, "salt"], "left")
     alone = F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))
-    of = stored(of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *(F.when(alone, F.col(c)).alias(c) for c in ("bands", "bits"))), "representatives")
-
-    members = of.where("bands IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    sketches = of.where("bands IS NOT NULL").select("rep", "bits").dropDuplicates(["rep"])  # only few bucket entries are left to be given them
-    members = stored(members.join(shared, "bucket").join(sketches, "rep").select("bucket", "rep", "n_shingles", "bits", F.col("rep").alias("component")), "members")
+    of = stored(of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "one", *(F.when(alone, F.col(c)).alias(c) for c in ("bands", "bits"))), "representatives")
+    dropped(classes)
+
+    members = of.where("bands IS NOT NULL").select("rep", "one", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / DEALT).cast("int").alias("parts"))
+    sketches = of.where("bands IS NOT NULL").select("rep", "one", "bits").dropDuplicates(["rep", "one"])  # only few bucket entries are left to be given them
+    dealt = F.pmod(F.xxhash64("rep", "one"), F.col("parts")).cast("int").alias("part")
+    members = members.join(shared, "bucket").join(sketches, ["rep", "one"])
+    members = stored(members.select("bucket", "parts", dealt, "rep", "n_shingles", "bits", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    links, tested, centres = None, None, 1
-    labels = None
+    texts = stored(docs.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+
+    # Classes that one id's texts are in are linked by it.
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("doc_id", "a")
+    links = stored(of.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct(), "links")
+    tested, centres = None, 1
+    labels = None if links.isEmpty() else components(links)
+    first = True
     while not members.isEmpty():
-        if labels is None:
-            chosen = members.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles", "bits")).alias("centre")).select("bucket", F.col("centre.rep").alias("its"), "centre")
+        if first:
+            chosen = members.groupBy("bucket", "parts").agg(F.min(F.struct("rep", "n_shingles", "bits")).alias("centre")).select("bucket", "parts", F.col("centre.rep").alias("its"), "centre")
         else:
             parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
             largest = parts.groupBy(F.col("bucket").alias("of")).agg(F.max(F.struct("n", "component"))["component"].alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
             others = members.join(largest, F.col("bucket") == F.col("of")).where("component <> largest")
             others = others.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("others") / centres)) == 0)
-            chosen = others.select("bucket", F.col("component").alias("its"), F.struct("rep", "n_shingles", "bits").alias("centre"))
-        chosen = stored(chosen, "centres")
-        pairs = members.join(chosen, "bucket").where("component <> its")
+            chosen = others.select("bucket", "parts", F.col("component").alias("its"), F.struct("rep", "n_shingles", "bits").alias("centre"))
+        chosen, first = stored(chosen, "centres"), False
+        everywhere = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")  # a large bucket's entries are dealt to several tasks
+        pairs = members.join(everywhere, ["bucket", "part"]).where("component <> its")
         pairs = pairs.where(maybe_linked(F.col("n_shingles"), F.col("centre.n_shingles"), F.col("bits"), F.col("centre.bits")))
         pairs = pairs.where(100 * F.least("n_shingles", "centre.n_shingles") >= PERCENT * F.greatest("n_shingles", "centre.n_shingles"))
         pairs = pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
@@ -215,13 +227,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         found = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         found = stored(found.mapInArrow(lambda rows: _compare(rows, width), "a long, b long"), "links")
-        links = found if links is None else links.union(found)
+        links = links.union(found)
+        if labels is not None:
+            dropped(labels)
         labels = components(links)
         now = members.join(chosen.select("bucket", F.col("centre.rep").alias("rep")), ["bucket", "rep"], "left_anti").drop("component")
         now = now.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        members = stored(now.join(mixed_buckets, "bucket").select("bucket", "rep", "n_shingles", "bits", "component"), "members")
+        left = stored(now.join(mixed_buckets, "bucket").select("bucket", "parts", "part", "rep", "n_shingles", "bits", "component"), "members")
+        dropped(members, chosen)
+        members = left
         centres *= MORE
+    dropped(members, texts)
 
     result = of.select("doc_id", "rep").distinct()
     if labels is not None:

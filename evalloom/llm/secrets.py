@@ -31,21 +31,33 @@ SLICE = 4 << 20
 
 
 class Rule(NamedTuple):
-    """prefix, then one or more of the characters of run (none if empty); matches whose run is shorter than least are dropped."""
+    """prefix, then one or more of the characters of run (none if empty); matches whose run is shorter than least are dropped, and so are matches shorter than shortest.
+
+    least is a part of the automaton, with a state a character; shortest is looked at when a match has ended.
+    """
 
     kind: str
     prefix: str
     run: str = ""
     least: int = 1
     any_case: bool = False
+    shortest: int = 0
 
 
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", 8, True),
-    Rule("access", "AKIA", "[A-Z0-9]", 12),
+    Rule("access", "AKIA", "[A-Z0-9]", shortest=16),
     Rule("hex", "", "[0-9a-f]", 32),
 )
-RULES = (*BASE, Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"))
+WORD, NAME = "[A-Za-z0-9]", "[A-Za-z0-9_-]"
+RULES = (
+    *BASE,
+    Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("forge", "gh[pousr]_", WORD, shortest=40),
+    Rule("chat", "xox[abprs]-", "[A-Za-z0-9-]", shortest=15),
+    Rule("payment", "[sr]k_live_", WORD, shortest=28),
+    Rule("webtoken", rf"eyJ{NAME}+\.eyJ{NAME}+\.", NAME),
+)
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -217,7 +229,9 @@ class Automaton:
         for end, state in events:
             for rule, full in self.outputs[state // self.width]:
                 if full:
-                    found.append((self.back[rule].start(data, before[rule], end), end, rule))
+                    start = self.back[rule].start(data, before[rule], end)
+                    if end - start >= self.rules[rule].shortest:
+                        found.append((start, end, rule))
                 before[rule] = end
         return sorted(found, key=lambda x: (x[0], x[2]))
 
@@ -274,8 +288,10 @@ def in_code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", spans: str = "secrets") -> DataFrame:
     """Adds the spans of all rules in each whole text."""
 
+    ready = docs.sparkSession.sparkContext.broadcast(automaton(rules))  # as large as the rules make it, whatever the data
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = automaton(rules)
+        one = ready.value
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in text_slices(column, SLICE):

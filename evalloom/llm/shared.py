@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import dropped, shared_folder
+from ..session import settled as stored
+from ..session import shared_path as new_path
+
+__all__ = ["dropped", "new_path", "shared_folder", "stored"]
+
 #: Bytes of text that a task hashes at once.
 SLICE_BYTES = 1 << 20
 #: Any odd numbers serve; two of each give 128 bits.
@@ -36,34 +40,6 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.evalloom.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evalloom-")
-        spark.conf.set("spark.evalloom.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: its lineage ends there and its size is known."""
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges that hold at most so many bytes, or one text."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)

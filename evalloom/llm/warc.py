@@ -1,9 +1,9 @@
 """WARC archives: writing pages as records, and reading records back with boundary-chain verification.
 
 A reading task takes every place with a record's magic for a record, even in payloads, and emits where its length says that the
-next one begins. From the start of each file these links are followed by pointer jumping: in each round links
+next one begins, whatever the record's type. From the start of each file these links are followed by pointer jumping: in each round links
 double their reach and the reached set takes in what its links lead to, so that the rounds are the logarithm of a file's records. Only
-reached records are returned.
+reached records of the wanted types are returned; the others (warcinfo, request, metadata) are links of the chain, too.
 
 Of records with equal payloads of at least `least` bytes the one with the largest page_id is a response and the others are
 revisits, which carry the response's headers but no payload.
@@ -11,12 +11,14 @@ revisits, which carry the response's headers but no payload.
 Defined results: a null page is an empty payload; a null page_id is never referred to unless all of its payload's are null,
 and then its rows are all responses; rows that share the largest page_id are all responses; a null url has no target line, and line ends in
 urls become spaces; other columns play no part; an empty table gives no archive and no records. Files are read whole, so a file must be below 2 GB;
-the writer keeps them near FILE_BYTES, or at one record. A file that breaks off ends at its last whole record.
+the writer keeps them near FILE_BYTES, or at one record. A file that breaks off ends at its last whole record. Compressed files
+are read as one stream, and their places are those of the plain bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored
+from .shared import dropped, new_path, stored
 
 FILE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
@@ -33,9 +35,12 @@ END = "\r\n"
 #: Fixed by the format.
 MAGIC = "WARC/1.1"
 TYPES = ("response", "revisit")
+GZIP = b"\x1f\x8b"
+#: Names of archives; the writer's own end in .txt.
+FILES = "*.{txt,warc,gz}"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
-RECORDS = "file string, at long, next long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
+RECORDS = "file string, at long, next long, record_type string, record_id string, page_id long, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -90,26 +95,27 @@ def candidates(data: bytes, payloads: bool) -> Iterator[tuple]:
     """Every place of a file that looks like a record: where it is, where the next one begins, and what it holds."""
     for found in _RECORD.finditer(data):
         headers = _headers(found[1])
-        length = headers.get("content-length", "")
-        if not length.isdecimal() or headers.get("warc-type") not in TYPES:
+        length, kind = headers.get("content-length", ""), headers.get("warc-type", "")
+        if not length.isdecimal():
             continue
         start, end = found.end(), found.end() + int(length)
         if data[end : end + 4] != b"\r\n\r\n":
             continue
         block = data[start:end]
-        http, _, payload = block.partition(b"\r\n\r\n")
-        kind = headers["warc-type"]
-        if kind == TYPES[0]:
-            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        else:
-            said = _headers(http.partition(b"\r\n")[2]).get("content-length", "")
+        http, empty_line, payload = block.partition(b"\r\n\r\n")
+        if kind == TYPES[1]:
+            said, payload = _headers(http.partition(b"\r\n")[2]).get("content-length", ""), None
             size, digest = int(said) if said.isdecimal() else None, headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        yield found.start(), end + 4, kind, _number(headers.get("warc-record-id", "")), _number(headers.get("warc-refers-to", "")), size, digest, headers.get("warc-target-uri"), payload if payloads and kind == TYPES[0] else None
+        else:
+            payload = payload if kind == TYPES[0] and empty_line else block
+            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        name = headers.get("warc-record-id", "")
+        yield found.start(), end + 4, kind, name, _number(name), _number(headers.get("warc-refers-to", "")), size, digest, headers.get("warc-target-uri"), payload if payloads else None
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all files below path; payload is null for revisits, or throughout if payloads is false."""
-    kind = pa.schema([("file", pa.string()), *((n, pa.int64()) for n in ("at", "next")), ("record_type", pa.string()), *((n, pa.int64()) for n in ("page_id", "refers_to", "payload_bytes")), ("payload_digest", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
+def read(spark: SparkSession, path: str, payloads: bool = True, types: tuple[str, ...] = TYPES, files: str = FILES) -> DataFrame:
+    """The records of these types in all files below path whose names fit; payload is null for revisits, or throughout if payloads is false. Only this library's archives have page ids."""
+    kind = pa.schema([("file", pa.string()), *((n, pa.int64()) for n in ("at", "next")), ("record_type", pa.string()), ("record_id", pa.string()), *((n, pa.int64()) for n in ("page_id", "refers_to", "payload_bytes")), ("payload_digest", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(found: list) -> pa.RecordBatch:
@@ -118,7 +124,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in rows:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 found, size = [], 0
-                for x in candidates(content.as_py(), payloads):
+                data = content.as_py()
+                for x in candidates(gzip.decompress(data) if data[:2] == GZIP else data, payloads):
                     found.append((file.as_py(), *x))
                     size += 300 + len(x[-1] or b"")
                     if size > BATCH_BYTES:
@@ -127,9 +134,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if found:
                     yield packed(found)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
-    records = stored(files.select("path", "content").mapInArrow(scan, RECORDS), "records")
-    return records.join(reached(records.select("file", "at", "next")), ["file", "at"], "left_semi")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", True).load(path)
+    records = stored(found.select("path", "content").mapInArrow(scan, RECORDS), "records")
+    return records.join(reached(records.select("file", "at", "next")), ["file", "at"], "left_semi").where(F.col("record_type").isin(*types))
 
 
 def reached(links: DataFrame) -> DataFrame:
@@ -140,8 +147,11 @@ def reached(links: DataFrame) -> DataFrame:
         # One row a link: where it leads by now, and whether it is on the chain.
         leads = links.select("file", F.col("at").alias("to"), F.col("to").alias("further"))
         led = links.where("on").select("file", F.col("to").alias("at"), F.lit(True).alias("led")).distinct()
+        before = links
         links = links.join(led, ["file", "at"], "left").join(leads, ["file", "to"], "left")
         links = stored(links.select("file", "at", F.coalesce("further", "to").alias("to"), (F.col("on") | F.coalesce("led", F.lit(False))).alias("on")), "links")
+        if count >= 0:
+            dropped(before)
         now = links.where("on").count()
         if now == count:
             return links.where("on").select("file", "at")

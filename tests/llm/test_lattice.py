@@ -110,3 +110,55 @@ def test_learning_makes_held_out_documents_likelier(spark, middle, model_file):
         start = (lattice.log_probabilities(words, logs, vocab).sum() + logs[vocab.end]) / math.log(10)
         better += r.score > start
     assert better > 0.95 * len(rows[:40])
+
+
+def test_long_words_are_worked_out_as_short_ones_are(model_file):
+    vocab = lattice.vocabulary(model_file)
+    logs = lattice._logs(vocab.start)
+    for word in ["testing", "straßenbahnhaltestelle", "日本語", "a" * 40, "x🙂y" * 9]:
+        graph, one = lattice.Lattice([word], vocab), lattice.LongWord(word, vocab)
+        assert one.forward(logs)[-1] == pytest.approx(graph.forward(logs)[1][0], abs=1e-9)
+        assert one.expected(logs, 3) == pytest.approx(graph.expected(logs, np.array([3.0])), abs=1e-9)
+
+
+def splits(word, vocab):
+    """All segmentations of a word, each as the numbers of its pieces."""
+    if not word:
+        return [()]
+    found = []
+    for k in range(1, len(word) + 1):
+        if word[:k] in vocab.pieces:
+            found += [(vocab.pieces[word[:k]], *x) for x in splits(word[k:], vocab)]
+        elif k == 1:
+            found += [(*vocab.bytes[[*word[0].encode()]].tolist(), *x) for x in splits(word[1:], vocab)]
+    return found
+
+
+def test_scores_equal_a_plain_version(spark, model_file):
+    texts = ["the cat sat", "a dog sat on it", None, "it is 日", "The end", "cats run", "run dog run", "x", "one cat", "so it is", "on the mat", "a 🙂 b"]
+    vocab, rows = lattice.vocabulary(model_file), [*enumerate(texts)]
+    words = {i: [w.decode() for w in lattice._words(t)] for i, t in rows}
+    ways_of = {w: splits("▁" + w, vocab) for ws in words.values() for w in ws}
+    trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    chances = vocab.start
+    for _ in range(lattice.ROUNDS):
+        used = lattice.PRIOR * vocab.start
+        for i in trained:
+            for w in words[i]:
+                each = [math.prod(chances[p] for p in way) for way in ways_of[w]]
+                for way, x in zip(ways_of[w], each, strict=True):
+                    for p in way:
+                        used[p] += x / sum(each)
+            used[vocab.end] += 1
+        chances = used / used.sum()
+    want = {i: sum(math.log10(sum(math.prod(chances[p] for p in way) for way in ways_of[w])) for w in words[i]) + math.log10(chances[vocab.end]) for i, _ in rows}
+    found = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame([(i, t, 0, "", "") for i, t in rows], SCHEMA), model_file).collect()}
+    assert found == pytest.approx(want, abs=1e-9)
+
+
+def test_one_very_long_text_and_a_repeated_row(spark, model_file):
+    rows = [(1, "ab" * 30_000, 0, "", ""), *[(None, "", 0, "", "")] * 50]
+    found = lattice.score(spark.createDataFrame(rows, SCHEMA), model_file)
+    assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    found = found.collect()
+    assert len(found) == 51 and all(math.isfinite(r.score) for r in found)

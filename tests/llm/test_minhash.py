@@ -98,3 +98,26 @@ def test_several_rounds_in_buckets_of_unlinked_members(spark, monkeypatch):
     rows = [(i, " ".join(f"c{i}x{k}" if rng.random() < rng.choice([0.02, 0.06, 0.12]) else w for k, w in enumerate(base))) for i in range(90)]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
     assert result(minhash.near_duplicates(frame)) == brute(rows)
+
+
+def test_rows_of_one_id_are_linked_by_any_of_their_texts(spark):
+    text = [f"w{i}" for i in range(100)]
+    near = [*text[:50], "other", *text[51:]]
+    rows = [(1, "aaa bbb ccc"), (1, " ".join(text)), (2, " ".join(near)), (5, " ".join(text)), (5, "lone words here"), (7, "lone words here"), (9, "nothing like it")]
+    found = minhash.near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), (2, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)}
+    assert sorted(r.n_shingles for r in found if r.doc_id == 1) == [2, 99]
+
+
+def test_large_buckets_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "DEALT", 4)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(f"c{i}x{k}" if rng.random() < 0.03 else w for k, w in enumerate(base))) for i in range(40)]
+    assert result(minhash.near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA))) == brute(rows)
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"v{i % 5000}x{i % 7}" for i in range(200_000))
+    found = minhash.near_duplicates(spark.createDataFrame([(3, long, 1, "x"), (8, long + " end", 1, "x"), (9, "short one", 1, "x")], SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(3, 3), (8, 3), (9, 9)}

@@ -79,16 +79,17 @@ def test_centroids_weigh_parallel_errors_more():
 
 
 def test_recall_on_full_blocks_of_uneven_lengths(spark, tmp_path):
-    """Two blocks' worth of rows, of which OPEN a block are ranked exactly."""
+    """Six blocks' worth of rows, of which OPEN a block are ranked exactly."""
     rng = np.random.default_rng(11)
-    n, d = 2 * anisotropic.ROWS, 32
+    n, d = 6 * anisotropic.ROWS, 32
     x = rng.normal(size=(n, d)) * rng.lognormal(sigma=0.3, size=(n, 1))
     pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), d).cast(pa.list_(pa.float64()))}), tmp_path / "v.parquet")
-    found, hits = got(anisotropic.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 512 == 0)), 0
-    asking = range(0, n, 512)
+    found, hits = got(anisotropic.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 1024 == 0)), 0
+    asking = range(0, n, 1024)
     for q in asking:
         scores = x @ x[q]
         scores[q] = -np.inf
         hits += len({*np.argpartition(-scores, 20)[:20].tolist()} & {i for i, _ in found[q]})
     recall = hits / (20 * len(asking))
+    print("recall", recall)
     assert recall >= 0.9

@@ -13,6 +13,10 @@ PATTERNS = {
     "access": (re.compile("AKIA[A-Z0-9]+"), 0, 16),
     "hex": (re.compile("[0-9a-f]+"), 0, 32),
     "key": (re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
+    "forge": (re.compile("gh[pousr]_[A-Za-z0-9]+"), 0, 40),
+    "chat": (re.compile("xox[abprs]-[A-Za-z0-9-]+"), 0, 15),
+    "payment": (re.compile("[sr]k_live_[A-Za-z0-9]+"), 0, 28),
+    "webtoken": (re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 1),
 }
 
 
@@ -27,7 +31,7 @@ def plain(text):
 
 def texts(n=300, seed=2):
     rng = random.Random(seed)
-    parts = ["password", "PassWd", "secret", "toKEN", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "\n", "é", "日", "AKIA", "AKIAAKIA", "ABCDEFGH1234", "deadbeef" * 4, "0123456789abcdef", "x", "Zz9+/_.=-", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN ", "PRIVATE KEY-----", "short", "longer_value_1", "🙂"]
+    parts = ["password", "PassWd", "secret", "toKEN", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "\n", "é", "日", "AKIA", "AKIAAKIA", "ABCDEFGH1234", "deadbeef" * 4, "0123456789abcdef", "x", "Zz9+/_.=-", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN ", "PRIVATE KEY-----", "short", "longer_value_1", "🙂", "ghp_", "gho_" + "a1" * 18, "xoxb-", "xoxp-12-", "sk_live_", "rk_live_abcdefghij", "eyJ", "eyJhb.", "eyJ-_x.eyJzd.", "."]
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(n)]
 
 
@@ -62,6 +66,12 @@ def test_redaction(spark):
     assert {r.doc_id: r.t for r in found} == {1: "é [assign] and [hex].", 2: "nothing"}
 
 
+def test_the_automaton_stays_small():
+    one = secrets.automaton(secrets.RULES)
+    assert len(secrets.RULES) == 8 and len(one.outputs) < 10_000 and one.width < 60
+    print(len(one.outputs), "states,", one.width, "classes")
+
+
 def test_rules_that_the_automaton_cannot_say():
     with pytest.raises(ValueError):
         secrets.Automaton((secrets.Rule("x", r"a\d"),))

@@ -36,10 +36,42 @@ def test_round_trip(spark):
             assert bytes(r.payload).decode() == ({i: h for i, _, h in rows}[r.page_id] or "")
 
 
-def test_magic_in_payloads_is_a_candidate_but_not_reached():
-    data = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: {len(FALSE)}\r\n\r\n{FALSE}\r\n\r\n".encode()
-    assert [x[0] for x in warc.candidates(data, True)] != [0] or True
-    assert next(warc.candidates(data, True))[1] == len(data)
+def test_magic_in_payloads_is_a_candidate_but_not_reached(spark):
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: {len(FALSE) + 4}\r\n\r\n\r\n\r\n"
+    data = f"{head}{FALSE}\r\n\r\n".encode()
+    # The payload's record is over where the outer one is, but begins within it.
+    assert [x[:2] for x in warc.candidates(data, True)] == [(0, len(data)), (len(head), len(head) + len(FALSE))]
+    links = [("f", *x[:2]) for x in warc.candidates(data, True)]
+    assert [r.at for r in warc.reached(spark.createDataFrame(links, "file string, at long, next long")).collect()] == [0]
+
+
+def record(kind, block, name="urn:uuid:1"):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n"
+
+
+def test_records_of_all_types_are_links(spark):
+    http = "HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\n"
+    parts = [("warcinfo", "software: x", "urn:a"), ("response", http + "hi", "urn:page:1"), ("request", "GET / HTTP/1.1\r\n\r\n", "urn:b"), ("metadata", "", "urn:c"), ("response", http + "ho", "urn:page:2")]
+    whole = "".join(record(*p) for p in parts)
+    path = new_path(spark, "mixed")
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.option("lineSep", "\x00").text(path)
+    found = warc.read(spark, path).orderBy("at").collect()
+    assert [(r.page_id, r.record_type, bytes(r.payload)) for r in found] == [(1, "response", b"hi"), (2, "response", b"ho")]
+    every = warc.read(spark, path, types=("warcinfo", "request", "metadata")).orderBy("at").collect()
+    assert [(r.record_id, r.payload_bytes) for r in every] == [("<urn:a>", 11), ("<urn:b>", 18), ("<urn:c>", 0)]
+
+
+def test_compressed_archives(spark, tmp_path):
+    import gzip
+
+    members = [record("warcinfo", "x"), record("response", "HTTP/1.1 200 OK\r\n\r\nhi", "urn:page:4")]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(m.encode()) for m in members))
+    assert [(r.page_id, bytes(r.payload)) for r in warc.read(spark, f"file://{tmp_path}").collect()] == [(4, b"hi")]
+
+
+def test_one_very_long_page(spark):
+    found = warc.archive_and_read(spark.createDataFrame([(1, "u", "é" * 3_000_000, "", 0), (2, "u", "x", "", 0)], SCHEMA)).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in found) == [(1, 6_000_000), (2, 1)]
 
 
 def test_pointer_jumping(spark):
