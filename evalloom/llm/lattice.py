@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 SPACE = "▁"
-GROUP_BYTES = 10 << 20
+GROUP_BYTES = 5 << 20
 ROUNDS = 2
 #: Pieces that the vocabulary's own scores count as, against those of the training words.
 PRIOR = 1000.0

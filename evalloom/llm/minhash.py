@@ -179,6 +179,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _everywhere(buckets: DataFrame) -> DataFrame:
+    """A row of (bucket, parts) for each part of its bucket: the entries of a large bucket are dealt to several tasks."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text), by shingles of so many words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -211,14 +216,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if first:
             chosen = members.groupBy("bucket", "parts").agg(F.min(F.struct("rep", "n_shingles", "bits")).alias("centre")).select("bucket", "parts", F.col("centre.rep").alias("its"), "centre")
         else:
-            parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-            largest = parts.groupBy(F.col("bucket").alias("of")).agg(F.max(F.struct("n", "component"))["component"].alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
-            others = members.join(largest, F.col("bucket") == F.col("of")).where("component <> largest")
+            sizes = members.groupBy("bucket", "parts", "component").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("bucket", "parts").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+            others = members.join(_everywhere(largest), ["bucket", "part"]).where("component <> largest")
             others = others.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("others") / centres)) == 0)
             chosen = others.select("bucket", "parts", F.col("component").alias("its"), F.struct("rep", "n_shingles", "bits").alias("centre"))
         chosen, first = stored(chosen, "centres"), False
-        everywhere = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")  # a large bucket's entries are dealt to several tasks
-        pairs = members.join(everywhere, ["bucket", "part"]).where("component <> its")
+        pairs = members.join(_everywhere(chosen), ["bucket", "part"]).where("component <> its")
         pairs = pairs.where(maybe_linked(F.col("n_shingles"), F.col("centre.n_shingles"), F.col("bits"), F.col("centre.bits")))
         pairs = pairs.where(100 * F.least("n_shingles", "centre.n_shingles") >= PERCENT * F.greatest("n_shingles", "centre.n_shingles"))
         pairs = pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
@@ -233,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         labels = components(links)
         now = members.join(chosen.select("bucket", F.col("centre.rep").alias("rep")), ["bucket", "rep"], "left_anti").drop("component")
         now = now.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_buckets = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        left = stored(now.join(mixed_buckets, "bucket").select("bucket", "parts", "part", "rep", "n_shingles", "bits", "component"), "members")
+        mixed_buckets = now.groupBy("bucket", "parts").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "parts")
+        left = stored(now.join(_everywhere(mixed_buckets), ["bucket", "part"]).select("bucket", "parts", "part", "rep", "n_shingles", "bits", "component"), "members")
         dropped(members, chosen)
         members = left
         centres *= MORE
