@@ -10,8 +10,6 @@ from .text import spaced, stripped
 # Fixed values of the response format.
 THINKING = r"(?is)<think>.*?</think>"
 REFUSAL = r"(?i)\b(?:I\s+can(?:no|')t|I\s+cannot|I(?:'m| am)\s+(?:not able|unable)|I\s+won'?t|I\s+will\s+not|I(?:'m| am)\s+sorry|I\s+apologi[sz]e|as an AI)\b"
-TRIVIAL = r"(?im)^\s*Redundancy:\s*trivial\b"
-INCORRECT = r"(?im)^\s*Correction:\s*incorrect\b"
 
 
 def without_reasoning(raw: Column) -> Column:
@@ -68,6 +66,35 @@ def numbered(raw: Column, expected: Column) -> Column:
     return F.when(F.size(found) == expected, found)
 
 
+def _indexed(raw: Column, name: str, value: str, flags: str = "") -> Column:
+    """A map of the number and the value of lines like '[2] name: value'; of equal numbers the last line counts."""
+    pattern = rf"(?m{flags})^[ \t]*\[([0-9]+)\][ \t]*{name}:[ \t]*({value})"
+    numbers, values = (F.regexp_extract_all(raw, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    entries = F.transform(F.arrays_zip(numbers.alias("n"), values.alias("v")), lambda e: F.struct(e["n"].cast("int").alias("n"), stripped(e["v"]).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["n"] == e["n"]))
+    return F.map_from_entries(last)
+
+
+def indexed_rewrites(raw: Column, expected: Column) -> Column:
+    """The texts of lines '[k] Generated: text', or else of all that follows 'Generated:' in a line; null unless there are as many as expected."""
+    numbered_lines = F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)^[ \t]*\[[0-9]+\][ \t]*Generated:[ \t]*(.+)"), F.lit(1)), stripped)
+    anywhere = F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)Generated:(.*)"), F.lit(1)), stripped)
+    return F.when(F.size(numbered_lines) == expected, numbered_lines).when(F.size(anywhere) == expected, anywhere)
+
+
+def indexed_pairs(raw: Column, expected: Column) -> Column:
+    """(corrupted, gold) of lines '[k] Generated:' and '[k] Ground truth:', k from 1; null unless all are there."""
+    one, two = _indexed(raw, "Generated", ".+"), _indexed(raw, r"Ground\s*truth", ".+")
+    found = F.transform(F.sequence(F.lit(1), expected), lambda k: F.struct(F.try_element_at(one, k).alias("corrupted"), F.try_element_at(two, k).alias("gold")))
+    return F.when(~F.exists(found, lambda p: p["corrupted"].isNull() | p["gold"].isNull()), found)
+
+
+def indexed_verdicts(raw: Column, expected: Column) -> Column:
+    """Whether each sample is kept, k from 1: false if a line '[k] Redundancy: trivial' or '[k] Correction: incorrect' says so."""
+    one, two = (F.transform_values(_indexed(raw, n, v, "i"), lambda _, x: F.lower(x)) for n, v in (("Redundancy", "trivial|valid"), ("Correction", "correct|incorrect")))
+    return F.transform(F.sequence(F.lit(1), expected), lambda k: (F.coalesce(F.try_element_at(one, k), F.lit("")) != "trivial") & (F.coalesce(F.try_element_at(two, k), F.lit("")) != "incorrect"))
+
+
 def labels(raw: Column, expected: Column) -> Column:
     """Places (from 1) with labels of lines like '2. label', lower-case; the last of a place counts."""
     pattern = r"(?m)^\s*(\d+)\s*[:.)-]\s*(.+?)\s*$"

@@ -34,9 +34,11 @@ def signal_counts(rows: DataFrame, signals: str, most: int = 5) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def edit_distribution(rows: DataFrame, supported: Sequence[str], edits: str = "edits", most: int = 5, alpha: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Smoothed shares of supported types of edits, and shares of how many a row has, over rows that have one."""
+def edit_distribution(rows: DataFrame, supported: Sequence[str], edits: str = "edits", most: int = 5, alpha: float = 0.5, least_rows: int = 5) -> tuple[DataFrame, DataFrame] | None:
+    """Smoothed shares of supported types of edits, and shares of how many a row has, over rows that have one; None if these are too few."""
     known = rows.select(F.filter(F.col(edits), lambda e: e["type"].isin(*supported)).alias("s")).where(F.size("s") > 0)
+    if known.limit(least_rows).count() < least_rows:
+        return None
     kinds = known.select(F.explode("s.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
     return smoothed(kinds, "type", supported, alpha), signal_counts(known, "s", most)
 

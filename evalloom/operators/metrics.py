@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -94,29 +94,34 @@ def edit_scores(rows: DataFrame, predicted: str = "predicted", gold: str = "gold
     return found.withColumn("f05", f_half(F.col("precision"), F.col("recall")))
 
 
-def edit_type_scores(rows: DataFrame, key: Sequence[str], predicted: str = "predicted", gold: str = "gold") -> DataFrame:
-    """(tp, fp, fn, precision, recall, f05) over each row's numbers of edits by type."""
-    sides = [rows.select(*key, F.explode(F.col(c)["type"]).alias("type"), F.lit(k).alias("side")) for k, c in enumerate((predicted, gold))]
-    n = sides[0].union(sides[1]).groupBy(*key, "type").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("g"))
-    return _mass(n, "p", "g")
+def edit_type_scores(rows: DataFrame, key: Sequence[str], predicted: str = "predicted", gold: str = "gold", by: Sequence[str] = ()) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f05) over each row's numbers of edits by type."""
+    sides = [rows.select(*by, *key, F.explode(F.col(c)["type"]).alias("type"), F.lit(k).alias("side")) for k, c in enumerate((predicted, gold))]
+    n = sides[0].union(sides[1]).groupBy(*by, *key, "type").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("g"))
+    return _mass(n, "p", "g", by)
 
 
-def type_distribution_scores(rows: DataFrame, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
-    """(tp, fp, fn, precision, recall, f05) over the shares of types that all rows together have."""
-    sides = [rows.select(F.explode(F.col(c)["type"]).alias("type"), F.lit(k).alias("side")) for k, c in enumerate((predicted, gold))]
-    n = sides[0].union(sides[1]).groupBy("type").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("g"))
-    sums = n.agg(F.sum("p").alias("all_p"), F.sum("g").alias("all_g"))  # one row
-    n = n.crossJoin(F.broadcast(sums)).select(ratio(F.col("p"), F.col("all_p")).alias("p"), ratio(F.col("g"), F.col("all_g")).alias("g"))
-    return _mass(n, "p", "g")
+def type_distribution_scores(rows: DataFrame, predicted: str = "predicted", gold: str = "gold", by: Sequence[str] = ()) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f05) over the shares of types that all rows together have."""
+    sides = [rows.select(*by, F.explode(F.col(c)["type"]).alias("type"), F.lit(k).alias("side")) for k, c in enumerate((predicted, gold))]
+    n = sides[0].union(sides[1]).groupBy(*by, "type").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("g"))
+    all_of = Window.partitionBy(*by)  # some tens of types
+    n = n.select(*by, *(ratio(F.col(c), F.sum(c).over(all_of)).alias(c) for c in ("p", "g")))
+    return _mass(n, "p", "g", by)
 
 
-def _mass(n: DataFrame, predicted: str, gold: str) -> DataFrame:
+def _mass(n: DataFrame, predicted: str, gold: str, by: Sequence[str] = ()) -> DataFrame:
     p, g, zero = F.col(predicted), F.col(gold), F.lit(0)
-    sums = n.agg(*(F.coalesce(F.sum(x), zero).alias(k) for k, x in (("tp", F.least(p, g)), ("fp", F.greatest(p - g, zero)), ("fn", F.greatest(g - p, zero)))))
-    sums = sums.select("tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    sums = n.groupBy(*by).agg(*(F.coalesce(F.sum(x), zero).alias(k) for k, x in (("tp", F.least(p, g)), ("fp", F.greatest(p - g, zero)), ("fn", F.greatest(g - p, zero)))))
+    sums = sums.select(*by, "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     return sums.withColumn("f05", f_half(F.col("precision"), F.col("recall")))
 
 
+def class_share(rows: DataFrame, label: str, positive: str) -> DataFrame:
+    """(share) of the labelled rows that are positive; 0 without rows."""
+    return rows.where(F.col(label).isNotNull()).agg(F.coalesce(F.avg((F.col(label) == positive).cast("double")), F.lit(0.0)).alias("share"))
+
+
 def mean_edits(rows: DataFrame, edits: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.coalesce(F.avg(F.size(edits)), F.lit(0.0)).alias("n_edits"))
 

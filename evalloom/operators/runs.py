@@ -16,11 +16,12 @@ def mean_std(scores: DataFrame, by: Sequence[str], value: str = "value", populat
 
 def eta_squared(scores: DataFrame, group: Sequence[str], by: Sequence[str] = (), value: str = "value") -> DataFrame:
     """(by, eta2): the share of variance between groups; null for one group or no variance."""
-    one = scores.groupBy(*by, *group).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) ** 2).alias("q"))
-    n, s = F.sum("n"), F.sum("s")
-    between = F.sum(F.col("s") ** 2 / F.col("n")) - s**2 / n
-    total = F.sum("q") - s**2 / n
-    return one.where("n > 0").groupBy(*by).agg(F.when((F.count("*") > 1) & (total > 1e-12 * F.abs(F.sum("q"))), between / total).alias("eta2"))
+    one = scores.groupBy(*by, *group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n > 0")
+    all_of = Window.partitionBy(*by)  # some tens of groups
+    one = one.withColumn("a", F.sum(F.col("n") * F.col("m")).over(all_of) / F.sum("n").over(all_of))
+    between, within = F.sum(F.col("n") * (F.col("m") - F.col("a")) ** 2), F.sum(F.col("n") * F.col("v"))
+    negligible = F.lit(1e-24) * F.sum(F.col("n") * F.col("m") ** 2)
+    return one.groupBy(*by).agg(F.when((F.count("*") > 1) & (between + within > negligible), between / (between + within)).alias("eta2"))
 
 
 def kendall_tau_b(pairs: DataFrame, key: str, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

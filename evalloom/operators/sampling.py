@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 def uniform(key: Column, name: str, seed: int) -> Column:
     """A number in (0, 1)."""
-    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(name), F.lit(seed)), 11) + 0.5) * F.lit(2.0**-53)
+    return (digits(key, F.lit(name), F.lit(seed)) + 0.5) * F.lit(2.0**-52)
+
+
+def digits(*parts: Column) -> Column:
+    """A number of 52 bits that depends on the parts' texts alone, by a hash that other engines have, too."""
+    text = F.concat_ws("|", *(p.cast("string") for p in parts))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(13)), 16, 10).cast("long")
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows, all equally likely."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(digits(F.col(key), F.lit(seed)), key).limit(n)
 
 
 def sample_by(rows: DataFrame, key: str, by: Sequence[str], n: int, seed: int) -> DataFrame:
     """n rows of each group."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    order = Window.partitionBy(*by).orderBy(digits(F.col(key), F.lit(seed)), key)
     return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
 
 
@@ -42,7 +48,7 @@ def distinct_choices(key: Column, n: Column, weights: Mapping[str, float], seed:
     positive = {k: w for k, w in weights.items() if w > 0}
     keyed = F.array(*(F.struct((F.ln(uniform(key, f"key {k}", seed)) * -1 / F.lit(w)).alias("at"), F.lit(k).alias("k")) for k, w in positive.items()))
     without = F.transform(F.slice(F.sort_array(keyed), 1, F.greatest(n, F.lit(1))), lambda x: x["k"])
-    again = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: choice((F.shiftrightunsigned(F.xxhash64(key, i, F.lit("again"), F.lit(seed)), 11) + 0.5) * F.lit(2.0**-53), positive))
+    again = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: choice((digits(key, i, F.lit("again"), F.lit(seed)) + 0.5) * F.lit(2.0**-52), positive))
     return F.when(n <= 0, F.array().cast("array<string>")).when(n <= len(positive), without).otherwise(again)
 
 

@@ -51,8 +51,13 @@ def _pair_scores(rows: DataFrame) -> DataFrame:
     scored = metrics.edit_scores(bare.where("predicted IS NOT NULL AND gold IS NOT NULL"), by=by)
     scored = scored.select("model", F.col("precision").alias("errant.precision"), F.col("recall").alias("errant.recall"), F.col("f05").alias("errant.f0.5"))
     n_edits, extent = metrics.mean_edits(bare, by=by), metrics.correction_extent(rows, "text", "prediction", by).select("model", F.col("extent").alias("correction_extent"))
-    wide = gleu.join(scored, "model").join(n_edits, "model").join(extent, "model")
-    return wide.select("model", F.expr("stack(6, 'gleu', gleu, 'errant.precision', `errant.precision`, 'errant.recall', `errant.recall`, 'errant.f0.5', `errant.f0.5`, 'n_edits', n_edits, 'correction_extent', correction_extent) AS (metric, value)"))
+    dist = metrics.type_distribution_scores(bare, by=by).select("model", *(F.col(c).alias(f"errant_dist.{n}") for c, n in (("precision", "precision"), ("recall", "recall"), ("f05", "f0.5"))))
+    wide = gleu.join(scored, "model").join(n_edits, "model").join(extent, "model").join(dist, "model", "left").fillna(0.0)
+    if {"input_score", "corrected_score"} <= {*rows.columns}:  # what a scorer of acceptability gave
+        cola = metrics.acceptability(rows, "input_score", "corrected_score", by)
+        wide = wide.join(cola.select("model", *(F.col(c).alias(f"cola.{c}") for c in ("input", "corrected", "delta"))), "model")
+    values = [F.col(f"`{n}`").cast("double").alias(n) for n in wide.columns if n != "model"]
+    return wide.select("model", *values).unpivot(["model"], [F.col(f"`{n}`") for n in wide.columns if n != "model"], "metric", "value")
 
 
 def _pair_samples(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,8 +18,16 @@ def archive_run(rows: DataFrame, path: str, run: int) -> None:
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
-    """Scores (model, metric, run, value) of a run, added to those of earlier runs; results are views of this table."""
-    scores.write.mode("append").parquet(f"{path}/scores")
+    """Scores (model, metric, run, value) of some runs, added to those of earlier runs; runs that are there already are replaced. Results are views of this table."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/scores")
+
+
+def save_document(spark: SparkSession, path: str, text: str) -> None:
+    """A small document, such as a session's results, written whole by the driver; one that is there is replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def write_once(rows: DataFrame, path: str) -> None:

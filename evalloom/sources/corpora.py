@@ -34,8 +34,10 @@ def tsv(spark: SparkSession, path: str | list[str], names: Sequence[str] | None
 
 def m2_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(tokens, edits) of each block; edits are (start, end, type, correction, annotator). Lines that are not whole edits are left out."""
-    text = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.rtrim(x)), lambda x: T.stripped(x) != "")
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    ends = "\r\n\r\n" if first and first.value.endswith("\r") else "\n\n"  # only where files are cut for tasks; blocks are told apart below
+    text = spark.read.option("lineSep", ends).text(path).select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("value"))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.rtrim(x)), lambda x: T.stripped(x) != "")
     rows = text.select(lines.alias("lines")).where(F.startswith(F.get("lines", F.lit(0)), F.lit("S ")))
 
     def edit(line: Column) -> Column:

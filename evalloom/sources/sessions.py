@@ -130,6 +130,15 @@ def same_cell(sessions: DataFrame) -> bool:
     return sessions.select("meta.task", "meta.model", "strategy").distinct().limit(2).count() == 1
 
 
+def merged(spark: SparkSession, folders: Sequence[str], schema: str) -> DataFrame:
+    """The generated rows of several sessions as runs of one; ValueError unless there are two sessions at least and all are of one task, model and strategy."""
+    if len(folders) < 2 or len({*folders}) < len(folders):
+        raise ValueError("name two different sessions at least")
+    if not same_cell(discover(spark, folders)):
+        raise ValueError("sessions of different tasks, models or strategies are not merged")
+    return renumbered(run_files(spark, folders, schema), [f.removeprefix("file://") for f in folders])
+
+
 def differing_rows(a: DataFrame, b: DataFrame) -> int:
     """How many rows only one of two samples has, repeated rows counted."""
     return a.exceptAll(b).unionByName(b.exceptAll(a)).count()
