@@ -108,3 +108,25 @@ def test_sinks(spark, tmp_path):
     archive.write_once(rows, f"{path}/once")
     archive.write_once(rows.union(rows), f"{path}/once")
     assert spark.read.parquet(f"{path}/once").select(F.count("*")).first()[0] == 1
+
+
+def test_m2_with_line_ends_of_either_kind_and_blank_lines_of_spaces(spark, tmp_path):
+    block = "S This are one\nA 1 2|||R:VERB|||is|||REQUIRED|||-NONE-|||0\n"
+    (tmp_path / "a.m2").write_bytes(f"{block}\n{block}  \n{block}".replace("\n", "\r\n").encode())
+    (tmp_path / "b.m2").write_bytes(f"{block}\n{block} \n{block}\n\n".encode())
+    for name in ("a.m2", "b.m2"):
+        assert [tuple(r) for r in corpora.m2(spark, f"file://{tmp_path}/{name}").collect()] == [("This are one", "This is one")] * 3
+
+
+def test_sessions_are_merged_only_if_they_are_alike(spark, tmp_path):
+    for name, model in (("one", "m"), ("two", "m"), ("three", "other")):
+        (tmp_path / name / "generated").mkdir(parents=True)
+        (tmp_path / name / "results.json").write_text(json.dumps({"meta": {"task": "spam", "mode": "forward", "model": model}, "results": {}}))
+        for k in (1, 2):
+            (tmp_path / name / "generated" / f"run_{k}.json").write_text(json.dumps([{"text": f"{name}{k}"}]))
+    of = [f"file://{tmp_path}/{n}" for n in ("two", "one", "three")]
+    found = sessions.merged(spark, of[:2], "text string")
+    assert sorted((r.run, r.text) for r in found.collect()) == [(1, "two1"), (2, "two2"), (3, "one1"), (4, "one2")]
+    for folders in ([of[0]], [of[0], of[0]], of):
+        with pytest.raises(ValueError):
+            sessions.merged(spark, folders, "text string")
