@@ -68,11 +68,15 @@ def test_expected_copies(spark):
     data = [(i, "w w w w", "a") for i in range(6)] + [(10, "w " * 12, "b")]
     sums, draws = defaultdict(int), 12
     for seed in range(draws):
-        for r in mixing.mix(frame(spark, data), seed=seed).collect():
-            sums[r.source] += r.taken
-            target = r.target
-    assert sums["a"] / draws == pytest.approx(12, abs=2.1)
-    assert target
+        found = mixing.mix(frame(spark, data), seed=seed).collect()
+        assert {(r.source, r.target) for r in found} == {("a", 12.0), ("b", 24.0)}
+        taken = {s: sum(r.taken for r in found if r.source == s) for s in "ab"}
+        assert taken["b"] == 24 and abs(taken["a"] - 12) <= 4
+        assert {r.copies for r in found if r.source == "a"} <= {0, 1}
+        for r in found:
+            sums[r.doc_id] += r.taken
+    assert sum(sums[i] for i in range(6)) / draws == pytest.approx(12, abs=2.1)
+    assert len({i for i in range(6) if sums[i]}) > 3  # not always the same ones
 
 
 def test_edges(spark):
