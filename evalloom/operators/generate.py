@@ -272,6 +272,28 @@ def variants(seeds: DataFrame, grid: DataFrame, most: int = 10_000) -> DataFrame
     return seeds.crossJoin(F.broadcast(grid))
 
 
+def shots(pairs: Sequence[tuple[str, str]]) -> str:
+    """Worked examples to stand before a question."""
+    return "".join(f"Example {k}:\nInput: {a}\nOutput: {b}\n\n" for k, (a, b) in enumerate(pairs, 1))
+
+
+def prompt_grid(spark: SparkSession, wordings: Mapping[str, str], demonstrations: Sequence[tuple[str, str]], counts: Sequence[int] = (0, 1, 3, 12), temperatures: Sequence[float] = (0.0,)) -> DataFrame:
+    """(variant, system, examples, temperature): each wording with so many of the demonstrations and each temperature; ValueError if a count asks for more than there are. Meant for variants()."""
+    if max(counts, default=0) > len(demonstrations):
+        raise ValueError(f"{len(demonstrations)} demonstrations are fewer than {max(counts)}")
+    rows = [(f"{name}_{n}_{t:g}", system, shots(demonstrations[:n]), float(t)) for name, system in wordings.items() for n in counts for t in temperatures]
+    return spark.createDataFrame(rows, "variant string, system string, examples string, temperature double")
+
+
+def from_scenarios(spark: SparkSession, n: int, scenarios: Sequence[tuple[str, str, str]], seed: int = 0, noise: float = 0.2) -> DataFrame:
+    """(id, input, output, error_category) of n draws from scenarios (correct, incorrect, category); at the rate of noise, letters of an input are swapped, too. No client is asked."""
+    key = F.col("id")
+    table = F.array(*(F.struct(F.lit(b).alias("input"), F.lit(a).alias("output"), F.lit(c).alias("error_category")) for a, b, c in scenarios))
+    drawn = spark.range(n).withColumn("s", F.element_at(table, F.floor(sampling.uniform(key, "scenario", seed) * len(scenarios)).cast("int") + 1))
+    swapped = F.replace(F.replace("s.input", F.lit("the"), F.lit("teh")), F.lit("ing"), F.lit("ign"))
+    return drawn.select("id", F.when(sampling.uniform(key, "noise", seed) < noise, swapped).otherwise(F.col("s.input")).alias("input"), "s.output", "s.error_category")
+
+
 def offline(prompt: str) -> str:
     """A client without a model, for tests: it answers in all tags, with a word doubled and one left out of the prompt's last line."""
     words = prompt.strip().splitlines()[-1].split() or ["empty"]

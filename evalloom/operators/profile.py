@@ -51,6 +51,25 @@ def top_ngrams(rows: DataFrame, k: int, n: int = 1, text: str = "text", order: s
     return placed.orderBy(F.desc("n"), "first", "at").limit(k).select("ngram", "n")
 
 
+def top_ngrams_by(rows: DataFrame, k: int, by: Sequence[str], n: int = 1, text: str = "text", order: str = "doc_id", drop: Sequence[str] = ()) -> DataFrame:
+    """(by, rank, ngram, n): the k most frequent of each slice; of equal counts the one seen first. Each task passes on at most k of a slice."""
+    grams = T.tokens(F.col(text), drop) if n == 1 else T.ngrams(T.tokens(F.col(text), drop), n)
+    counts = rows.select(*by, order, F.posexplode(grams).alias("at", "ngram")).groupBy(*by, "ngram").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))
+    return counts.withColumn("rank", place).where(F.col("rank") <= k).select(*by, "rank", "ngram", "n")
+
+
+def spaced_length_stats(rows: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, mean, median, min, max, std) of the numbers of words between spaces; texts without a word count."""
+    return numeric_stats(rows.where(F.col(text).isNotNull()), F.size(T.spaced(F.col(text))), by)
+
+
+def top_edit_types(rows: DataFrame, k: int = 5, edits: str = "edits") -> DataFrame:
+    """(type, n): the k most frequent types of edits, noop left out; of equal ones the first name."""
+    kinds = rows.select(F.explode(F.col(edits)["type"]).alias("type")).where("type <> 'noop'")
+    return kinds.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(k)
+
+
 def label_shares(rows: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, label, n, share) of rows with a label."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n"))

@@ -57,6 +57,11 @@ def features(key: Column, rates: Mapping[str, float], seed: int) -> Column:
     return F.array_compact(F.array(*(F.when(uniform(key, f"feature {k}", seed) < r, F.lit(k)) for k, r in rates.items())))
 
 
+def one_of(u: Column, values: Sequence[float]) -> Column:
+    """One of these values, all equally likely, such as a row's temperature."""
+    return F.element_at(F.array(*map(F.lit, values)), F.floor(u * len(values)).cast("int") + 1)
+
+
 def whole_number(u: Column, low: Column, high: Column) -> Column:
     return (low + F.floor(u * (high - low + 1))).cast("int")
 

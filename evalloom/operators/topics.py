@@ -14,7 +14,8 @@ from .generate import Client, answered, numbered
 
 #: Characters of a text that are shown to the client, and of an example.
 SHOWN, EXAMPLE = 300, 200
-CONSOLIDATED = "MAP<STRING, STRUCT<description: STRING, members: ARRAY<STRING>>>"
+#: Labels in a question that consolidates them.
+ASKED = 1000
 
 
 def labelled(texts: DataFrame, key: str, prompt: str, client: Client, batch: int = 20, text: str = "text") -> DataFrame:
@@ -30,19 +31,23 @@ def labelled(texts: DataFrame, key: str, prompt: str, client: Client, batch: int
 
 def owners(labels: DataFrame, consolidated: Mapping[str, Mapping]) -> DataFrame:
     """(label, topic, description) for each label (label, n): the first topic that claims it, or else a topic of its own name."""
-    spark = labels.sparkSession
-    claims = [(m.strip().lower(), name, block.get("description", ""), k) for k, (name, block) in enumerate(consolidated.items()) for m in block.get("members", ())]
-    first = spark.createDataFrame(claims, "label string, topic string, description string, k int").groupBy("label").agg(F.min_by(F.struct("topic", "description"), "k").alias("o"))
-    named = spark.createDataFrame([(n, b.get("description", "")) for n, b in consolidated.items()], "name string, its string")
+    blocks = [(k, name, block.get("description", ""), [*block.get("members", ())]) for k, (name, block) in enumerate(consolidated.items())]
+    return claimed(labels, labels.sparkSession.createDataFrame(blocks, "k long, topic string, description string, members array<string>"))
+
+
+def claimed(labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """owners, of topics in a frame (k, topic, description, members); the smallest k is first."""
+    first = blocks.select("k", "topic", "description", F.explode("members").alias("m")).groupBy(F.lower(T.stripped(F.col("m"))).alias("label")).agg(F.min_by(F.struct("topic", "description"), "k").alias("o"))
+    named = blocks.groupBy(F.col("topic").alias("name")).agg(F.min_by("description", "k").alias("its"))
     rows = labels.join(first, "label", "left").join(named, F.col("label") == F.col("name"), "left")
     return rows.select("label", "n", F.coalesce("o.topic", "label").alias("topic"), F.coalesce("o.description", "its", F.lit("")).alias("description"))
 
 
-def topics(rows: DataFrame, consolidated: Mapping[str, Mapping] | None = None, key: str = "doc_id", examples: int = 3) -> DataFrame:
+def topics(rows: DataFrame, consolidated: Mapping[str, Mapping] | DataFrame | None = None, key: str = "doc_id", examples: int = 3) -> DataFrame:
     """(topic, description, n, fraction, examples) of (key, text, label); fractions are of labelled texts and add up to 1. Without topics each label is one."""
     have = rows.where("label IS NOT NULL")
     counts = have.groupBy("label").agg(F.count("*").alias("n"))
-    of = owners(counts, consolidated or {})
+    of = claimed(counts, consolidated) if isinstance(consolidated, DataFrame) else owners(counts, consolidated or {})
     found = of.groupBy("topic").agg(F.max("description").alias("description"), F.sum("n").alias("n")).withColumn("fraction", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))  # one row a topic
     order = Window.partitionBy("topic").orderBy(key)
     first = have.join(of.select("label", "topic"), "label").withColumn("k", F.row_number().over(order)).where(F.col("k") <= examples)
@@ -50,21 +55,23 @@ def topics(rows: DataFrame, consolidated: Mapping[str, Mapping] | None = None, k
     return found.join(shown, "topic", "left")
 
 
-def consolidated_from(raw: str | None, spark) -> dict[str, dict]:
-    """The topics of a client's one answer; empty if it holds none."""
-    row = spark.createDataFrame([(raw,)], "raw string").select(F.map_entries(parse.topics(F.col("raw"))).alias("t")).first()
-    return {k: {"description": v["description"] or "", "members": [*(v["members"] or [])]} for k, v in row.t or () if v}
+def consolidations(counts: DataFrame, prompt: str, client: Client, most: int = ASKED) -> DataFrame:
+    """(k, topic, description, members) that a client makes of all labels (label, n), the most frequent first, so many in a question. An answer without topics is asked for once more."""
+    times = F.col("n")
+    placed = numbered(counts.select(F.struct((-times).alias("n"), "label").alias("at"), F.concat("label", F.lit(" — "), times.cast("string")).alias("line")), "at").withColumn("batch", F.floor((F.col("n") - 1) / most))
+    line = F.struct("n", "line")
+    asked = placed.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))  # a batch is at most `most` labels
+    before, after = prompt.split("{labels}")
+    question = F.concat(F.lit(before), F.col("lines"), F.lit(after))
+    said = settled(answered(asked, question, client, "one"))
+    none = F.coalesce(F.size(parse.topics(F.col("one"))) < 1, F.lit(True))
+    said = settled(answered(said, F.when(none, question), client, "two"))
+    found = said.select("batch", F.posexplode(F.map_entries(parse.topics(F.when(none, F.col("two")).otherwise(F.col("one"))))).alias("at", "t")).where("t.value IS NOT NULL")
+    return found.select((F.col("batch") * 1_000_000 + F.col("at")).alias("k"), F.col("t.key").alias("topic"), F.coalesce("t.value.description", F.lit("")).alias("description"), F.col("t.value.members").alias("members"))
 
 
-def profile(texts: DataFrame, key: str, label_prompt: str, consolidate_prompt: str, client: Client, batch: int = 20) -> DataFrame:
-    """Both passes: labels, one question that consolidates them (asked again once), topics. consolidate_prompt has {labels}, the 1000 most frequent; labels that no topic claims stay topics of their own."""
+def profile(texts: DataFrame, key: str, label_prompt: str, consolidate_prompt: str, client: Client, batch: int = 20, most: int = ASKED) -> DataFrame:
+    """Both passes: labels, questions that consolidate them, topics. consolidate_prompt has {labels}; topics of one name in several answers are one, and labels that no topic claims stay topics of their own."""
     rows = settled(labelled(texts, key, label_prompt, client, batch))
-    lines = [f"{r.label} — {r.n}" for r in rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()]
-    for _ in range(2):
-        try:
-            found = consolidated_from(client.answer(consolidate_prompt.replace("{labels}", "\n".join(lines))), texts.sparkSession)
-        except Exception:  # as any failed call
-            found = {}
-        if found:
-            break
-    return topics(rows, found, key)
+    counts = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    return topics(rows, settled(consolidations(counts, consolidate_prompt, client, most)), key)

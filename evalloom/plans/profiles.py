@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.vocab import CHAR_BINS, EDIT_TYPES, STOPWORDS, WORD_BINS
 from ..operators import edits as E
 from ..operators import fidelity, profile
+from ..session import settled
 
 
 def rows_profile(rows: DataFrame, texts: Sequence[str] | None = None, order: str = "doc_id", examples: int = 3) -> dict[str, DataFrame]:
@@ -37,8 +38,8 @@ def _side(rows: DataFrame, text: str, by: Sequence[str], order: str) -> dict[str
         "style": profile.style_rates(rows, text, by),
         "vocabulary": profile.vocabulary_stats(rows, text, by),
     }
-    if not by:
-        blocks |= {f"top_{n}_grams": profile.top_ngrams(rows, 15, n, text, order) for n in (2, 3)}
+    top = (lambda n: profile.top_ngrams_by(rows, 15, by, n, text, order)) if by else (lambda n: profile.top_ngrams(rows, 15, n, text, order))
+    blocks |= {f"top_{n}_grams": top(n) for n in (2, 3)}
     return blocks
 
 
@@ -46,7 +47,7 @@ def classes_profile(rows: DataFrame, label: str = "label", text: str = "text", o
     """Of rows with a text and a label: shares in per cent, lengths, words and first examples of each label."""
     valid = profile.nonblank(rows, text).where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("string"))
     shares = profile.label_shares(valid, label).select(label, "n", F.round(100 * F.col("share"), 4).alias("percent"))
-    return {"labels": shares, "chars": profile.text_length_stats(valid, text, [label]), "words": profile.word_count_stats(valid, text, [label]), "examples": profile.first_examples(valid, examples, [label], order).select(label, "rank", text)}
+    return {"labels": shares, "chars": profile.text_length_stats(valid, text, [label]), "words": profile.word_count_stats(valid, text, [label]), "top_words": profile.top_ngrams_by(valid, 20, [label], 1, text, order), "top_words_nostop": profile.top_ngrams_by(valid, 20, [label], 1, text, order, STOPWORDS), "examples": profile.first_examples(valid, examples, [label], order).select(label, "rank", text)}
 
 
 def messages_profile(rows: DataFrame, order: str = "doc_id") -> dict[str, DataFrame]:
@@ -59,9 +60,9 @@ def messages_profile(rows: DataFrame, order: str = "doc_id") -> dict[str, DataFr
 
 def pairs_profile(rows: DataFrame, source: str = "incorrect", target: str = "correct", order: str = "doc_id", annotate=None) -> dict[str, DataFrame]:
     """Of (order, source, target): similarity and its buckets with first examples, edits as an annotator sees them, and lengths, style and words of each side."""
-    rated = rows.withColumn("similarity", F.round(T.sequence_similarity(F.col(source), F.col(target)), 4))
-    rated = rated.withColumns({"bucket": T.similarity_bucket(F.col("similarity")), "complexity": T.complexity(F.col("similarity"))})
-    found = profile.edit_profile(rows.withColumn("edits", (annotate or E.annotator())(F.col(source), F.col(target))), EDIT_TYPES)
+    rated = rows.select(F.col(order), F.col(source), F.col(target), F.round(T.sequence_similarity(F.col(source), F.col(target)), 4).alias("similarity"), (annotate or E.annotator())(F.col(source), F.col(target)).alias("edits"))
+    rated = settled(rated.withColumns({"bucket": T.similarity_bucket(F.col("similarity")), "complexity": T.complexity(F.col("similarity"))}), "rated")  # alignments are worked out once
+    found = profile.edit_profile(rated, EDIT_TYPES)
     blocks = {
         "similarity": profile.numeric_stats(rated, F.col("similarity")),
         "buckets": profile.label_shares(rated, "bucket"),

@@ -84,6 +84,13 @@ def evaluated(task: Task, samples: DataFrame, predictors: Mapping[str, models.Pr
     return task.scores(models.predicted(samples, dict(predictors)))
 
 
+def seed_pool(task: Task, rows: DataFrame, mode: str, keep: tuple = ()) -> DataFrame:
+    """What a mode draws its seeds from: forward class-conditional generation imitates labelled messages (text, label), all else starts from the rows that the task's parser keeps."""
+    if task.strategy == "class_conditional" and mode == "forward":
+        return task.real_samples(rows, keep)
+    return task.parse(rows, keep)
+
+
 def planned(spark: SparkSession, task: Task, client: generate.Client, settings: Mapping, seeds: DataFrame | None) -> DataFrame:
     """The generation that task, mode and seedless stand for: one of eight, with rejected samples marked.
 

@@ -54,10 +54,21 @@ def save_profile(blocks: dict[str, DataFrame], path: str) -> None:
     profile_document(blocks).coalesce(1).write.mode("overwrite").text(path)
 
 
-def comparison(tidy_rows: DataFrame) -> DataFrame:
-    """A row for each model, a column for each metric: mean±std of generated data, to three places."""
-    cell = F.format_string("%.3f±%.3f", "gen_mean", "gen_std")
-    return tidy_rows.groupBy("task", "strategy", "gen_model", "eval_model").pivot("metric").agg(F.first(cell))
+def comparison_cells(tidy_rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(task, strategy, gen_model, eval_model, column, cell): gen.<metric> as mean±std, real.<metric> of metrics that are not nested, to three places; models that failed (gen_model, error) have their error alone."""
+    by = ["task", "strategy", "gen_model", "eval_model"]
+    nothing = F.lit(None).cast("string")
+    gen = F.struct(F.concat(F.lit("gen."), "metric").alias("column"), F.when(F.col("gen_mean").isNotNull(), F.format_string("%.3f±%.3f", "gen_mean", "gen_std")).alias("cell"))
+    real = F.struct(F.concat(F.lit("real."), "metric").alias("column"), F.when(~F.contains("metric", F.lit(".")) & F.col("real").isNotNull(), F.format_string("%.3f", "real")).alias("cell"))
+    cells = tidy_rows.select(*by, F.inline(F.array(gen, real))).where("cell IS NOT NULL")
+    if failed is None:
+        return cells
+    return cells.unionByName(failed.select(nothing.alias("task"), nothing.alias("strategy"), "gen_model", nothing.alias("eval_model"), F.lit("error").alias("column"), F.col("error").alias("cell")))
+
+
+def comparison(tidy_rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """A row for each model, a column for each of its cells."""
+    return comparison_cells(tidy_rows, failed).groupBy("task", "strategy", "gen_model", "eval_model").pivot("column").agg(F.first("cell"))
 
 
 def result_lines(tidy_rows: DataFrame) -> DataFrame:

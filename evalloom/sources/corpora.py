@@ -5,6 +5,7 @@ Every scan of files adds nothing to the rows; where an order matters ("the first
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +138,11 @@ def opinions(rows: DataFrame, keep: Sequence[str] = (), label: str = "label") ->
     return rows.select(*keep, field(rows, OPINION_NAMES).alias("incorrect"), T.sentiment_label(F.col(label)).alias("sentiment_label")).where("incorrect IS NOT NULL")
 
 
-def first_usable(usable: DataFrame, order: str, n: int | None = None) -> DataFrame:
-    """The first n of the rows that a parser has kept (all if n is None): the limit comes after the filter."""
-    return usable if n is None else usable.orderBy(order).limit(n)
+def first_usable(usable: DataFrame, order: str, n: int | None = None, told: bool = False) -> DataFrame:
+    """The first n of the rows that a parser has kept (all if n is None): the limit comes after the filter. told warns if there are fewer, which counts the rows."""
+    if n is None:
+        return usable
+    found = usable.orderBy(order).limit(n)
+    if told and (have := found.count()) < n:
+        warnings.warn(f"{have} usable rows of {n} that were asked for", stacklevel=2)
+    return found

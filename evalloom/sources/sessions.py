@@ -5,6 +5,7 @@ Documents are read whole, one row a file, and become long frames: one row a sess
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +51,16 @@ def strict(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def with_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The strict session of a folder with its profile; a profile that is no JSON object is null, and a warning says so."""
+    found = strict(spark, folder)
+    profile = documents(spark, [folder], "profile.json").select("dir", F.col("value").alias("profile"))
+    read = found.join(profile, "dir", "left").withColumn("__ok", F.coalesce(F.from_json("profile", "MAP<STRING, STRING>", {"mode": "PERMISSIVE"}).isNotNull() & F.rlike(F.trim("profile"), F.lit(r"(?s)^\{.*\}$")), F.lit(False)))
+    if not read.where("profile IS NOT NULL AND NOT __ok").isEmpty():
+        warnings.warn(f"{folder}: profile.json is no JSON object and is left out", stacklevel=2)
+    return read.withColumn("profile", F.when(F.col("__ok"), F.col("profile"))).drop("__ok")
+
+
 def latest(sessions: DataFrame) -> DataFrame:
     """The session whose folder has the largest name; names begin with the time."""
     newest = sessions.agg(F.max(F.struct(F.regexp_extract("dir", "[^/]*$", 0), "dir"))["dir"].alias("dir"))

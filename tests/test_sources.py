@@ -80,7 +80,7 @@ def test_sessions(spark, root):
     with pytest.raises(ValueError, match="other"):
         sessions.strict(spark, f"{root}/s/other")
     table = archive.comparison(tidy).where("eval_model = 'org/m1'").first()
-    assert table["f1"] == "0.500±0.100"
+    assert table["gen.f1"] == "0.500±0.100" and table["real.f1"] == "0.600"
     assert archive.result_lines(tidy).where("line LIKE 'm1 f1%'").first().line == "m1 f1: 0.5000 ± 0.1000 (real 0.6000)"
 
 
