@@ -144,10 +144,3 @@ def tfidf_cosine(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     both = counts.join(idf, "w").groupBy(key, "w").agg(*(F.sum(F.when(F.col("side") == s, F.col("n") * F.col("idf")).otherwise(0.0)).alias(n) for s, n in ((0, "x"), (1, "y"))))
     dots = both.groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"))
     return rows.select(key).join(dots, key, "left").select(key, ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("cosine"))
-
-
-#: The scores that each task reports, as functions of prediction rows.
-REGISTRY = {
-    "spam": lambda rows, by=(): binary_scores(rows, "SPAM", by),
-    "sentiment": lambda rows, by=(): macro_scores(rows, ("NEGATIVE", "NEUTRAL", "POSITIVE"), by),
-}

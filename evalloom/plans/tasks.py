@@ -78,6 +78,9 @@ TASKS = {
     "sentiment": Task("sentiment", "pairs", corpora.opinions, _opinion_samples, lambda rows, keep=(): corpora.opinions(rows, keep).select(*keep, F.col("incorrect").alias("text"), F.col("sentiment_label").alias("label")), _sentiment_scores),
 }
 
+#: The scores that each task reports, as functions of prediction rows (model, ...) that give (model, metric, value).
+EVALUATORS = {name: task.scores for name, task in TASKS.items()}
+
 
 def evaluated(task: Task, samples: DataFrame, predictors: Mapping[str, models.Predictor]) -> DataFrame:
     """(model, metric, value)."""

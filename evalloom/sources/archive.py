@@ -54,6 +54,19 @@ def save_profile(blocks: dict[str, DataFrame], path: str) -> None:
     profile_document(blocks).coalesce(1).write.mode("overwrite").text(path)
 
 
+def fidelity_document(real: dict[str, DataFrame], generated: dict[str, DataFrame], compared: DataFrame) -> DataFrame:
+    """One row, one JSON text: the profiles of a real and of a generated corpus, and the rows that compare them."""
+    sides = [profile_document(blocks).select(F.col("value").alias(n)) for n, blocks in (("real", real), ("generated", generated))]
+    fidelity = compared.agg(F.to_json(F.collect_list(F.struct("*"))).alias("fidelity"))  # some hundred rows
+    body = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), F.col(n)) for n in ("real", "generated", "fidelity")))
+    return sides[0].crossJoin(sides[1]).crossJoin(fidelity).select(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))  # one row each
+
+
+def save_fidelity(real: dict[str, DataFrame], generated: dict[str, DataFrame], compared: DataFrame, folder: str) -> None:
+    """profile.json of a session; one that is there is replaced."""
+    save_document(compared.sparkSession, f"{folder}/profile.json", fidelity_document(real, generated, compared).first()["value"])
+
+
 def comparison_cells(tidy_rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """(task, strategy, gen_model, eval_model, column, cell): gen.<metric> as mean±std, real.<metric> of metrics that are not nested, to three places; models that failed (gen_model, error) have their error alone."""
     by = ["task", "strategy", "gen_model", "eval_model"]

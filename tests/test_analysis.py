@@ -5,8 +5,8 @@ import json
 import pytest
 
 from evalloom.operators import generate as G
-from evalloom.operators import models, topics
-from evalloom.plans import analysis, profiles, tasks
+from evalloom.operators import models, profile, topics
+from evalloom.plans import analysis, profiles, report, tasks
 from evalloom.sources import archive, corpora, sessions
 
 RUNS = [(1, "win $5!", "SPAM"), (1, "hi there", "HAM"), (2, "ok!", "HAM"), (2, "lunch?", "SPAM")]
@@ -119,3 +119,13 @@ def test_profiles_by_label(spark):
     blocks = profiles.messages_profile(rows)
     assert [(r.label, r.ngram, r.n) for r in blocks["classes.top_words"].where("rank = 1").orderBy("label").collect()] == [("HAM", "now", 2), ("SPAM", "win", 2)]
     assert {r.ngram for r in blocks["label.top_2_grams"].collect()} == {"win win", "win now", "now now"}
+
+
+def test_fidelity_document(spark, tmp_path):
+    rows = spark.createDataFrame([("win $5 now!", "SPAM"), ("see you", "HAM")], "text string, label string")
+    blocks = {"signals": profile.signal_rates(rows), "styles": profile.style_rates(rows)}
+    archive.save_fidelity(blocks, blocks, report.compare_messages(rows, rows), f"file://{tmp_path}")
+    read = json.loads((tmp_path / "profile.json").read_text())
+    assert read["real"] == read["generated"] and len(read["real"]["signals"]) == 2
+    assert len(read["fidelity"]) > 20 and not any(r["value"] for r in read["fidelity"])
+    assert sessions.documents(spark, [f"file://{tmp_path}"], "profile.json").count() == 1
