@@ -1,9 +1,13 @@
 """The pipeline: what each stage does to what its predecessor kept."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
+import sentencepiece
+from evalloom.llm import mixing, toxicity
 from evalloom.llm.shared import stored
 
 
@@ -21,8 +25,30 @@ def test_stages(spark, small):
     assert ids["secrets"] == ids["near-duplicates"]
     assert {*ids["mixing"]} <= {*ids["secrets"]}
     assert ids["pieces"] == ids["mixing"]
+    plain = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in kept["pieces"].collect():
         assert r.n_tokens == len(r.ids) and r.n_chars == len(r.text or "")
+        assert [*r.ids] == plain.encode(r.text or "") and r.same_text == (plain.decode([*r.ids]) == (r.text or ""))
+    asked = {r.doc_id: r.predicted for r in toxicity.rated(docs, docs, spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert {*ids["toxicity"]} == {i for i, predicted in asked.items() if not predicted}
+    before = {r.doc_id: r.text for r in kept["near-duplicates"].collect()}
+    for r in kept["secrets"].collect():
+        assert not re.search("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", r.text or "")
+        if not re.search("AKIA|[0-9a-f]{32}|[A-Za-z0-9_-]{10}|://", before[r.doc_id] or ""):  # nothing that any rule could find
+            assert r.text == before[r.doc_id]
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept["secrets"]).collect()}
+    assert all(ids["mixing"][i] == n <= 3 for i, n in copies.items())
+
+
+def test_empty_and_null_documents(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs.where("false").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+    odd = spark.createDataFrame([(None,) * len(docs.columns), (-1, *[None] * (len(docs.columns) - 1)), (-2, "", *[None] * (len(docs.columns) - 2))], docs.schema)
+    assert docs.columns[:2] == ["doc_id", "text"]
+    odd.write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    assert all(not r.ids and r.n_tokens == 0 for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect())
 
 
 def test_run_is_the_stages(spark, small):
