@@ -50,3 +50,29 @@ def test_similarity_without_sql(spark, small):
 def test_choices_without_sql(spark, small):
     one, two = (sorted((r.doc_id, tuple(r.signals)) for r in queries.QUERIES["weighted_choices"](spark, small).collect()) for _ in range(2))
     assert one == two and all(1 <= len(s) <= 3 and len({*s}) == len(s) for _, s in one)
+
+
+def test_buckets_without_sql(spark, small):
+    from collections import defaultdict
+    from difflib import SequenceMatcher
+
+    want = defaultdict(list)
+    for r in queries.turns(spark, small).collect():
+        x = round(SequenceMatcher(None, r.input or "", r.output or "").ratio(), 4)
+        want["very_similar" if x >= 0.9 else "moderately_changed" if x >= 0.75 else "heavily_changed"].append(x)
+    found = {r.bucket: (r.n, r.mean_similarity) for r in queries.QUERIES["pair_buckets"](spark, small).collect()}
+    assert found == {b: (len(x), pytest.approx(sum(x) / len(x), abs=1e-6)) for b, x in want.items()}
+
+
+def test_edit_types_without_sql(spark, small):
+    """Counted plainly from the same annotator's edits."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from evalloom.operators import edits
+
+    rows = queries.turns(spark, small).withColumn("e", edits.annotator()(F.col("input"), F.col("output"))).collect()
+    assert rows and any(r.e for r in rows)
+    found = {r.type: r.n for r in queries.QUERIES["edit_types"](spark, small).collect()}
+    assert found == Counter(e.type for r in rows for e in r.e or ())
