@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, anisotropic, lattice, minhash, mixing, pieces, quality, secrets, toxicity, warc
+from . import alignment, anchors, anisotropic, lattice, manifest, minhash, mixing, ngram_join, pieces, quality, secrets, toxicity, warc
 from .shared import documents
 
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, labels)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+    sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = manifest.manifest(docs, tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_minhash": op2_minhash,
@@ -89,8 +107,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_alignment": op12_alignment,
+    "op13_manifest": op13_manifest,
 }
 
+#: What stands before (<) or after (>) a node in its run of three.
+_SIDE = "coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (o.i {} x.i), '')"
+#: CRC-32 of an id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: CAST((ascii(c) >> k) & 1 AS BIGINT)))),
+            lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))))"""
+
+
+def _leaf(text: str) -> str:
+    """The SHA-256 of a row's values with this one as its text."""
+    columns = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -143,4 +177,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
             sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' '), '') END) AS kept_sha256
         FROM d LEFT JOIN places USING (doc_id)""",
+    "op11_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {ngram_join.WIDTH - 1}], ' ') AS g FROM w, range(1, len(w) - {ngram_join.WIDTH - 2}) AS r(i)
+              UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {ngram_join.WIDTH - 1}),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {minhash.PERCENT} * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)""",
+    "op13_manifest": rf"""
+        WITH RECURSIVE leaves AS (SELECT doc_id, source, {_leaf("text")} AS d,
+                {_leaf("replace(text, chr(10), '')")} AS now, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM documents),
+        t AS (SELECT source, 0 AS lvl, i, m, d FROM leaves
+              UNION ALL SELECT source, lvl + 1, i // 3, (m + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE m > 1 GROUP BY source, lvl, i // 3, m),
+        subroot AS (SELECT source, lvl AS h, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j FROM t WHERE m = 1),
+        u AS (SELECT 0 AS lvl, j AS i, (SELECT count(*) FROM subroot) AS m, subroot AS d FROM subroot
+              UNION ALL SELECT lvl + 1, i // 3, (m + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE m > 1 GROUP BY lvl, i // 3, m),
+        steps AS (SELECT x.source, x.lvl, x.i, {_SIDE.format("<")} AS l, {_SIDE.format(">")} AS r FROM t x LEFT JOIN t o ON o.source IS NOT DISTINCT FROM x.source AND o.lvl = x.lvl AND o.i // 3 = x.i // 3 AND o.i <> x.i WHERE x.m > 1 GROUP BY x.source, x.lvl, x.i),
+        above AS (SELECT x.lvl, x.i, {_SIDE.format("<")} AS l, {_SIDE.format(">")} AS r FROM u x LEFT JOIN u o ON o.lvl = x.lvl AND o.i // 3 = x.i // 3 AND o.i <> x.i WHERE x.m > 1 GROUP BY x.lvl, x.i),
+        f AS (SELECT doc_id, source, i, 0 AS lvl, CASE WHEN crc % 2 = 0 AND now IS NOT NULL THEN now ELSE d END AS d, '' AS proof FROM (SELECT *, {_CRC} AS crc FROM leaves)
+              UNION ALL SELECT f.doc_id, f.source, f.i // 3, f.lvl + 1, sha256(s.l || f.d || s.r), f.proof || s.l || s.r FROM f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.lvl = f.lvl AND s.i = f.i),
+        g AS (SELECT f.doc_id, f.source, j AS i, 0 AS lvl, f.d, f.proof FROM f JOIN subroot b ON b.source IS NOT DISTINCT FROM f.source AND b.h = f.lvl
+              UNION ALL SELECT g.doc_id, g.source, g.i // 3, g.lvl + 1, sha256(a.l || g.d || a.r), g.proof || a.l || a.r FROM g JOIN above a ON a.lvl = g.lvl AND a.i = g.i)
+        SELECT g.doc_id, v.d AS leaf, b.subroot, u.d AS root, sha256(g.proof) AS proof_sha256, g.d AS folded_root, g.d = u.d AS verified
+        FROM g JOIN u ON u.m = 1 AND u.lvl = g.lvl JOIN subroot b ON b.source IS NOT DISTINCT FROM g.source JOIN leaves v ON v.doc_id = g.doc_id""",
 }
