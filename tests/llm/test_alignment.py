@@ -107,16 +107,26 @@ def test_a_long_text_without_spaces_and_an_empty_table(spark, libraries):
 
 def test_memory_of_stretches_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED", 50)
-    aligner = alignment.Aligner(A, B)
+    memory = alignment.Memory(alignment.Aligner(A, B))
     for k in range(40):
-        aligner.known({f"w{k}x{j}" for j in range(10)} | {"y" * 100 + str(k)})
-    assert len(aligner.recent) <= 60 and len(aligner.older) <= 60 and not any(len(s) > alignment.SHORT for s in aligner.recent)
+        memory.ids({f"w{k}x{j}" for j in range(10)} | {"y" * 100 + str(k)})
+    assert len(memory.recent) <= 60 and len(memory.older) <= 60 and not any(len(s) > alignment.SHORT for s in memory.recent)
+
+
+def test_stretches_together_are_as_each_by_itself():
+    """Encoded as one text, or alone; one that is not given back leaves the others as they are."""
+    words = [w for _, t in corpus()[:100] if t for w in alignment._CUT.split(t)] + ["a▁b", "plain"]
+    aligner = alignment.Aligner(A, B)
+    together = aligner.encode(words)
+    assert together[words.index("a▁b")] is None and together == [aligner.encode([w])[0] for w in words]
 
 
 def test_task_sums_add_up(spark, monkeypatch):
     """Pairs that a task passes on in parts are still counted whole."""
     rows = [(k, " ".join(f"word{j} und" for j in range(k % 50))) for k in range(200)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    whole = {r.pair: (r.n, r.best) for r in alignment.pair_counts(frame, A, B).collect()}
+    ids = alignment.encoded(frame, A, B)
+    whole = {r.pair: (r.n, r.best) for r in alignment.pair_counts(ids, A, B).collect()}
     monkeypatch.setattr(alignment, "HELD", 40)
-    assert {r.pair: (r.n, r.best) for r in alignment.pair_counts(frame, A, B).collect()} == whole
+    monkeypatch.setattr(alignment, "TOKENS", 100)
+    assert {r.pair: (r.n, r.best) for r in alignment.pair_counts(ids, A, B).collect()} == whole
