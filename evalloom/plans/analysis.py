@@ -30,13 +30,16 @@ def run_scores(task: Task, samples: DataFrame, predictors: Mapping[str, models.P
 
 
 def nested(generated: DataFrame, real: DataFrame | None = None) -> DataFrame:
-    """(model, metric, gen_mean, gen_std, real, runs) of generated (run, model, metric, value) and real (model, metric, value). Models and metrics that only one side has stay."""
+    """(model, metric, gen_mean, gen_std, real, runs, run_numbers) of generated (run, model, metric, value) and real (model, metric, value). Models and metrics that only one side has stay.
+
+    runs are the values in the order of their runs, run_numbers these runs: a run in which a model has no value is lacking in both.
+    """
     of = runs.mean_std(generated, ["model", "metric"]).select("model", "metric", F.col("mean").alias("gen_mean"), F.col("std").alias("gen_std"))
-    by_run = generated.groupBy("model", "metric").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "value"))), lambda x: x["value"]).alias("runs"))  # some tens of runs
-    of = of.join(by_run, ["model", "metric"])
+    by_run = generated.where("value IS NOT NULL").groupBy("model", "metric").agg(F.sort_array(F.collect_list(F.struct("run", "value"))).alias("x"))  # some tens of runs
+    of = of.join(by_run.select("model", "metric", F.col("x.value").alias("runs"), F.col("x.run").alias("run_numbers")), ["model", "metric"], "left")
     if real is None:
-        return of.select("model", "metric", "gen_mean", "gen_std", F.lit(None).cast("double").alias("real"), "runs")
-    return of.join(real.select("model", "metric", F.col("value").alias("real")), ["model", "metric"], "full_outer").select("model", "metric", "gen_mean", "gen_std", "real", "runs")
+        return of.select("model", "metric", "gen_mean", "gen_std", F.lit(None).cast("double").alias("real"), "runs", "run_numbers")
+    return of.join(real.select("model", "metric", F.col("value").alias("real")), ["model", "metric"], "full_outer").select("model", "metric", "gen_mean", "gen_std", "real", "runs", "run_numbers")
 
 
 def rescored(task: Task, samples: DataFrame, predictors: Mapping[str, models.Predictor], real: DataFrame | None = None, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -49,8 +52,10 @@ def rescored(task: Task, samples: DataFrame, predictors: Mapping[str, models.Pre
 
 
 def results(rows: DataFrame) -> dict[str, dict]:
-    """Nested scores as a session's document has them; a metric a.b is b below a. For models and metrics, some hundred rows."""
+    """Nested scores as a session's document has them; a metric a.b is b below a. A model's runs have a block each, an empty one where a run of the session has none of its values. For models and metrics, some hundred rows."""
     found: dict[str, dict] = {}
+    rows = rows.orderBy("model", "metric").collect()
+    place = {run: k for k, run in enumerate(sorted({n for r in rows for n in r["run_numbers"] or ()}))}
 
     def put(block: dict, metric: str, value) -> None:
         *above, name = metric.split(".", 1)
@@ -58,16 +63,14 @@ def results(rows: DataFrame) -> dict[str, dict]:
             block = block.setdefault(a, {})
         block[name] = value
 
-    for r in rows.orderBy("model", "metric").collect():
+    for r in rows:
         of = found.setdefault(r["model"], {})
         if r["gen_mean"] is not None:
             put(of.setdefault("generated", {}), r["metric"], {"mean": r["gen_mean"], "std": r["gen_std"]})
         if r["real"] is not None:
             put(of.setdefault("real", {}), r["metric"], r["real"])
-        for k, value in enumerate(r["runs"] or ()):
-            by_run = of.setdefault("runs", [])
-            by_run.extend({} for _ in range(k + 1 - len(by_run)))
-            put(by_run[k], r["metric"], value)
+        for run, value in zip(r["run_numbers"] or (), r["runs"] or (), strict=True):
+            put(of.setdefault("runs", [{} for _ in place])[place[run]], r["metric"], value)
     return found
 
 
@@ -118,7 +121,7 @@ def dataset_summary(rows: DataFrame, reference: DataFrame, key: str = "id") -> D
     ours = ours.join(ours.groupBy(*by).agg(F.sum("n").alias("all")), by)
     theirs = reference.select(F.explode("edits.type").alias("type")).groupBy("type").agg(F.count("*").alias("m"))
     theirs = theirs.crossJoin(theirs.agg(F.sum("m").alias("of")))  # one row
-    both = ours.join(F.broadcast(theirs), "type").groupBy(*by).agg(F.sum(F.least(F.col("n") / F.col("all"), F.col("m") / F.col("of"))).alias("shared"))  # types are tens
+    both = ours.join(theirs, "type").groupBy(*by).agg(F.sum(F.least(F.col("n") / F.col("all"), F.col("m") / F.col("of"))).alias("shared"))
     dist = both.select(*by, metrics.f_half(F.col("shared"), F.col("shared")).alias("errant_f05"))
     of_truth = metrics.edit_type_scores(true, [key], by=by).select(*by, F.col("f05").alias("errant_f05_gt"))
     gleu = metrics.geometric_gleu(true, [*by, key], "truth", "corrected").groupBy(*by).agg(F.avg("gleu").alias("gleu_gt"))

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from .functions import parse, vocab
 from .functions import text as T
-from .operators import fidelity, generate, metrics, profile, runs, sampling
+from .operators import edits, fidelity, generate, metrics, profile, runs, sampling
 from .plans import report, tasks
-from .queries import _LABELLED, _SCORES, _TURNS, _WS, labelled, query, table, turns
+from .queries import _LABELLED, _SCORES, _spaced, _TURNS, _WS, labelled, query, table, turns
 from .queries import scores as daily_scores
 from .session import shared_path
 from .sources import archive, corpora, sessions
 
-PLAIN = "[^A-Za-z0-9 .,!?]+"
-_CLEAN = "trim(substr(trim(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9 .,!?]+', ' ', 'g')), 1, 60))"
+_CLEAN = "coalesce({}, '')"
+#: A turn as one line, where a format is one of lines; else whole turns are taken as they are.
+_LINE = "trim(regexp_replace(coalesce({}, ''), '[\\r\\n]+', ' ', 'g'))"
 _NL = "chr(10)"
 # Scores with some thirty days as a run.
 _MONTHS = _SCORES.replace("CAST(dayofyear(ts) AS BIGINT)", "CAST(dayofyear(ts) // 31 AS BIGINT)")
 # What a client might have answered to a pair of turns, by conversation.
 _RESP = f"""{_TURNS}, a AS (SELECT pair_id, conv_id, {_CLEAN.format("input")} AS a, {_CLEAN.format("output")} AS b FROM t),
+    al AS (SELECT pair_id, conv_id, {_LINE.format("input")} AS a, {_LINE.format("output")} AS b FROM t),
     q AS (SELECT *, CASE conv_id % 6 WHEN 0 THEN '<think>' || a || '</think>' || {_NL} || 'Error type: spelling' || {_NL} || 'Generated: ' || a || {_NL} || 'Ground truth: ' || b
         WHEN 1 THEN '  Text: ' || a || ' ' || {_NL} || 'generated:' || b WHEN 2 THEN 'I''m sorry, ' || a WHEN 3 THEN '<think> Generated: x' || {_NL} || 'so Generated: ' || b WHEN 4 THEN b
         ELSE a || {_NL} || b END AS raw FROM a),
@@ -30,13 +32,19 @@ _RESP = f"""{_TURNS}, a AS (SELECT pair_id, conv_id, {_CLEAN.format("input")} AS
 
 
 def _clean(column: str) -> Column:
-    return F.trim(F.substring(F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), PLAIN, " ")), 1, 60))
+    """The whole turn, line ends and all."""
+    return F.coalesce(column, F.lit(""))
 
 
 def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("pair_id", "conv_id", _clean("input").alias("a"), _clean("output").alias("b"))
 
 
+def line_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as one line each, for formats of lines."""
+    return plain_turns(spark, sf_dir).withColumns({c: F.trim(F.regexp_replace(c, "[\r\n]+", " ")) for c in "ab"})
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_scores(spark, sf_dir).withColumn("run", F.floor(F.col("run") / 31))
 
@@ -92,19 +100,19 @@ def judged_pairs(spark, sf_dir):
     return turns(spark, sf_dir).select("pair_id", parse.judge_keeps(raw).alias("kept"))
 
 
-@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN a <> '' AND b <> '' THEN a || '/' || b END AS lines FROM a")
+@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN a <> '' AND b <> '' THEN a || '/' || b END AS lines FROM al")
 def numbered_answers(spark, sf_dir):
     raw = F.concat(F.lit("Here you are:\n1. "), F.col("a"), F.lit("\n\n 2) "), F.col("b"), F.lit("\n"))
-    rows = plain_turns(spark, sf_dir).withColumn("raw", F.when((F.col("a") != "") & (F.col("b") != ""), raw).otherwise("1. only"))
+    rows = line_turns(spark, sf_dir).withColumn("raw", F.when((F.col("a") != "") & (F.col("b") != ""), raw).otherwise("1. only"))
     return rows.select("pair_id", F.array_join(parse.numbered(F.col("raw"), F.lit(2)), "/").alias("lines"))
 
 
-@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN b <> '' THEN '1=again,3=' || lower(b) ELSE '1=again' END AS labels FROM a")
+@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN b <> '' THEN '1=again,3=' || lower(b) ELSE '1=again' END AS labels FROM al")
 def answer_labels(spark, sf_dir):
     """Lines of labels: the last of a place counts, places beyond the expected ones don't."""
     raw = F.concat(F.lit("1. First\n1: again\n9) beyond\nprose\n3 - "), F.col("b"))
     found = parse.labels(raw, F.lit(3))
-    return plain_turns(spark, sf_dir).select("pair_id", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["place"].cast("string"), x["label"])), ",").alias("labels"))
+    return line_turns(spark, sf_dir).select("pair_id", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["place"].cast("string"), x["label"])), ",").alias("labels"))
 
 
 @query(f"WITH {_RESP}, m AS (SELECT pair_id, unnest(CASE WHEN conv_id % 2 = 0 THEN ['one', 'two', 'two'] ELSE ['two'] END) AS topic, unnest(CASE WHEN conv_id % 2 = 0 THEN ['a', 'b', 'c'] ELSE ['d'] END) AS member FROM a) SELECT pair_id, topic, member FROM m")
@@ -115,20 +123,20 @@ def topic_members(spark, sf_dir):
     return rows.select("pair_id", "topic", F.explode("t.members").alias("member"))
 
 
-@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN conv_id % 3 <> 2 AND a <> '' AND b <> '' THEN a || '/' || b END AS rewrites FROM a")
+@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN conv_id % 3 <> 2 AND a <> '' AND b <> '' THEN a || '/' || b END AS rewrites FROM al")
 def indexed_rewrites(spark, sf_dir):
     a, b, k = F.col("a"), F.col("b"), F.col("conv_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("[1] Generated: "), a, F.lit("\n[2] Generated:"), b)).when(k == 1, F.concat(F.lit("- Generated: "), a, F.lit("\n- Generated: "), b)).otherwise("[1] Generated: lone")
-    rows = plain_turns(spark, sf_dir).withColumn("raw", F.when((a == "") | (b == ""), "Generated: x").otherwise(raw))
+    rows = line_turns(spark, sf_dir).withColumn("raw", F.when((a == "") | (b == ""), "Generated: x").otherwise(raw))
     return rows.select("pair_id", F.array_join(parse.indexed_rewrites(F.col("raw"), F.lit(2)), "/").alias("rewrites"))
 
 
-@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN conv_id % 2 = 0 AND a <> '' AND b <> '' THEN a || '/' || b || '/c/d' END AS pairs, conv_id % 3 <> 0 AS first_kept, conv_id % 5 <> 0 AS second_kept FROM a")
+@query(f"WITH {_RESP} SELECT pair_id, CASE WHEN conv_id % 2 = 0 AND a <> '' AND b <> '' THEN a || '/' || b || '/c/d' END AS pairs, conv_id % 3 <> 0 AS first_kept, conv_id % 5 <> 0 AS second_kept FROM al")
 def indexed_pairs(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     raw = F.concat(F.lit("[2] Generated: c\n[1] Generated: x\n[1] Generated: "), a, F.lit("\n[1] Ground truth: "), b, F.when(F.col("conv_id") % 2 == 0, "\n[2] Ground truth: d").otherwise(""))
     verdicts = F.concat(F.when(F.col("conv_id") % 3 == 0, "[1] redundancy: Trivial\n").otherwise("[1] Redundancy: valid\n"), F.when(F.col("conv_id") % 5 == 0, "[2] Correction: incorrect").otherwise(""))
-    rows = plain_turns(spark, sf_dir).select("pair_id", F.when((a != "") & (b != ""), parse.indexed_pairs(raw, F.lit(2))).alias("p"), parse.indexed_verdicts(verdicts, F.lit(2)).alias("v"))
+    rows = line_turns(spark, sf_dir).select("pair_id", F.when((a != "") & (b != ""), parse.indexed_pairs(raw, F.lit(2))).alias("p"), parse.indexed_verdicts(verdicts, F.lit(2)).alias("v"))
     return rows.select("pair_id", F.array_join(F.flatten(F.transform("p", lambda x: F.array(x["corrupted"], x["gold"]))), "/").alias("pairs"), F.get("v", F.lit(0)).alias("first_kept"), F.get("v", F.lit(1)).alias("second_kept"))
 
 
@@ -158,13 +166,13 @@ def headerless_tsv_scan(spark, sf_dir):
     return corpora.tsv(spark, path, ["id", "body", "lang"]).select("id", F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("digest"))
 
 
-@query(f"WITH {_RESP}, w AS (SELECT list_filter(string_split(a, ' '), lambda x: x <> '') AS w FROM a) SELECT array_to_string(w, ' ') AS incorrect, array_to_string(list_concat(['Edited'], w[2:]), ' ') || ' end' AS correct FROM w WHERE len(w) > 1")
+@query(f"WITH {_RESP}, w AS (SELECT list_filter(string_split(a, ' '), lambda x: x <> '') AS w FROM al) SELECT array_to_string(w, ' ') AS incorrect, array_to_string(list_concat(['Edited'], w[2:]), ' ') || ' end' AS correct FROM w WHERE len(w) > 1")
 def m2_scan(spark, sf_dir):
     """Sentences with a replacement, an insertion, another annotator's edit and a line that is no edit, as M2 blocks with line ends of either kind."""
     words = T.spaced(F.col("a"))
     n = F.size(words).cast("string")
     block = F.concat(F.lit("S "), F.array_join(words, " "), F.lit("\nA 0 1|||R:X|||Edited|||REQUIRED|||-NONE-|||0\nA "), n, F.lit(" "), n, F.lit("|||M:X|||end|||REQUIRED|||-NONE-|||0\nA 0 2|||U:X||||||REQUIRED|||-NONE-|||1\nA broken"))
-    rows = plain_turns(spark, sf_dir).where(F.size(words) > 1)
+    rows = line_turns(spark, sf_dir).where(F.size(words) > 1)
     folder = shared_path(spark, "m2")
     for k, end in enumerate(("\n", "\r\n")):
         rows.where(F.col("conv_id") % 2 == k).select(F.regexp_replace(block, "\n", end)).write.option("lineSep", end + end).text(f"{folder}/{k}")
@@ -384,24 +392,57 @@ def strategies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", runs.strategy(mode, F.when(i % 2 == 0, "class_conditional").otherwise("pairs"), F.when(i % 5 == 0, True)).alias("strategy"))
 
 
-# Edits of a pair, made up from its number: what both sides have, what one has, and repeated ones.
-_E = "e AS (SELECT pair_id, conv_id, conv_id % 3 AS model, [CASE WHEN conv_id % 2 = 0 THEN '0:1:SPELL' ELSE '0:2:DET' END, '3:4:PUNCT', '3:4:PUNCT'] AS p, CASE WHEN conv_id % 5 = 0 THEN [] ELSE ['3:4:PUNCT', '0:1:SPELL'] END AS g FROM t)"
+# Edits by place: what a turn was changed to, and what it ought to have been changed to (some endings are others there). Accented letters count as one for DuckDB's levenshtein if they are one byte.
+_IRREGULAR = "MAP {" + ", ".join(f"'{w}': ['{b}', '{f}']" for w, (b, f) in edits.irregular().items()) + "}"
+_ONE_BYTE = "translate({}, 'éèêçüäößñáíóúà¿¡', 'ABCDEFGHIJKLMNOP')"
+_IN = lambda c, of: f"coalesce({c} IN ({', '.join(repr(w) for w in sorted(of))}), false)"
+_MARKS = vocab.PUNCTUATION.replace("'", "''")
 
 
-def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def edit(start: int, end: int, kind: str) -> Column:
-        return F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(kind).alias("type"))
+def _base(w: str) -> str:
+    y = f"regexp_replace({w}, '^(.{{2,}}?)(?:ies|ied|ier|iest|ily)$', '\\1y')"
+    return f"coalesce({_IRREGULAR}[{w}][1], list_transform([regexp_replace(CASE WHEN {y} <> {w} THEN {y} ELSE regexp_replace({w}, '^(.{{2,}}?)(?:ing|ed|es|est|er|ly|s|e)$', '\\1') END, '^(.{{2,}}?)e+$', '\\1')], lambda z: CASE WHEN regexp_matches(z, '(bb|dd|gg|ll|mm|nn|pp|rr|ss|tt)$') THEN left(z, length(z) - 1) ELSE z END)[1])"
+
+
+def _form(w: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({w}, '^.{{2,}}{e}$') THEN '{f}'" for e, f in edits.ENDINGS)
+    return f"coalesce({_IRREGULAR}[{w}][2], CASE {cases} ELSE 'base' END)"
+
+
+def _edits(column: str, side: str) -> str:
+    """(pair_id, model, start, end, type) of input and a column by place."""
+    words = f"{side}w AS (SELECT pair_id, conv_id % 3 AS model, {_spaced('input')} AS a, {_spaced(column)} AS b FROM u)"
+    places = f"{side}p AS (SELECT pair_id, model, least(i, len(a))::INT AS s, least(i + 1, len(a))::INT AS e, lower(a[i + 1]) AS x, lower(b[i + 1]) AS y, lower(a[i]) AS l, i < len(a) AS xs, i < len(b) AS ys FROM {side}w, range(greatest(len(a), len(b))) r(i) WHERE a[i + 1] IS DISTINCT FROM b[i + 1])"
+    forms = f"{side}f AS (SELECT *, {_base('x')} AS xb, {_base('y')} AS yb, {_form('x')} AS xf, {_form('y')} AS yf, {_ROOT.format('x')} AS xr, {_ROOT.format('y')} AS yr, coalesce(x, y) AS w FROM {side}p)"
+    either = lambda *f: f"(xf IN {f} OR yf IN {f})".replace(",)", ")")
+    past = "('past', 'past_s', 'ed')"
+    verbs = {w for line in edits.VERBS.split(";") for w in line.split()}
+    alone = f"CASE WHEN translate(w, '{_MARKS}', '') = '' THEN 'PUNCT' WHEN {_IN('w', edits.DETERMINERS)} THEN 'DET' WHEN {_IN('w', edits.PREPOSITIONS)} THEN 'PREP' WHEN {_IN('w', edits.PRONOUNS)} THEN 'PRON' WHEN {_IN('w', edits.AUXILIARIES)} THEN 'VERB:TENSE' ELSE 'OTHER' END"
+    same = " ".join(f"WHEN {_IN('x', c)} AND {_IN('y', c)} THEN '{n}'" for n, c in (("DET", edits.DETERMINERS), ("PREP", edits.PREPOSITIONS), ("PRON", edits.PRONOUNS)))
+    inflected = f"""CASE WHEN {either('er', 'est')} THEN 'ADJ' WHEN {either('ly')} THEN 'MORPH' WHEN {either('plural')} THEN 'NOUN:NUM' WHEN {either('ing', 'part')} THEN 'VERB:FORM' WHEN xf IN {past} AND yf IN {past} THEN CASE WHEN {either('past_s')} THEN 'VERB:SVA' ELSE 'MORPH' END
+        WHEN xf IN {past} OR yf IN {past} THEN 'VERB:TENSE' WHEN {_IN('x', edits.AUXILIARIES | verbs)} OR {_IN('l', edits.SUBJECTS)} THEN 'VERB:SVA' ELSE 'NOUN:NUM' END"""
+    kind = f"""CASE WHEN NOT xs THEN 'M:' || {alone} WHEN NOT ys THEN 'U:' || {alone} ELSE 'R:' || CASE WHEN x = y THEN 'ORTH' WHEN translate(x, '{_MARKS}', '') = '' AND translate(y, '{_MARKS}', '') = '' THEN 'PUNCT' {same} WHEN xb = yb THEN {inflected} WHEN xr = yr THEN 'MORPH'
+        WHEN 3 * levenshtein({_ONE_BYTE.format('x')}, {_ONE_BYTE.format('y')}) <= greatest(length(x), length(y)) THEN 'SPELL' ELSE 'OTHER' END END"""
+    return f"{words}, {places}, {forms}, {side} AS (SELECT pair_id, model, list(s || ':' || e || ':' || replace(type, ':', '-')) AS x FROM (SELECT *, {kind} AS type FROM {side}f) GROUP BY ALL)"
 
-    k = F.col("conv_id")
-    predicted = F.array(F.when(k % 2 == 0, edit(0, 1, "SPELL")).otherwise(edit(0, 2, "DET")), edit(3, 4, "PUNCT"), edit(3, 4, "PUNCT"))
-    gold = F.filter(F.array(edit(3, 4, "PUNCT"), edit(0, 1, "SPELL")), lambda _: k % 5 != 0)
-    return turns(spark, sf_dir).select("pair_id", "conv_id", (k % 3).alias("model"), predicted.alias("predicted"), gold.alias("gold"))
+
+_ROOT = f"regexp_replace({{}}, '^(.{{{{3,}}}}?)(?:{edits.DERIVED}|ly|e|y)$', '\\1')"
+_E = f"""u AS (SELECT *, replace(replace(output, 'en ', 'ens '), 'e ', 'ed ') AS wanted FROM t), {_edits("output", "p")}, {_edits("wanted", "g")},
+    e AS (SELECT u.pair_id, conv_id, conv_id % 3 AS model, coalesce(p.x, []) AS p, coalesce(g.x, []) AS g FROM u LEFT JOIN p ON p.pair_id = u.pair_id LEFT JOIN g ON g.pair_id = u.pair_id)"""
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits from a turn to its answer, and to the answer with other endings, word by word."""
+    wanted = F.replace(F.replace("output", F.lit("en "), F.lit("ens ")), F.lit("e "), F.lit("ed "))
+    rows = turns(spark, sf_dir).select("pair_id", "conv_id", (F.col("conv_id") % 3).alias("model"), edits.by_place(F.col("input"), F.col("output")).alias("predicted"), edits.by_place(F.col("input"), wanted).alias("gold"))
+    bare = lambda e: F.transform(e, lambda x: F.struct(x["start"], x["end"], x["type"]))
+    return rows.select("pair_id", "conv_id", "model", bare("predicted").alias("predicted"), bare("gold").alias("gold"))
 
 
 _PRF = """SELECT model, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM s"""
 
 
-@query(f"WITH {_TURNS}, {_E}, s AS (SELECT model, sum(len(list_intersect(list_distinct(p), g)))::BIGINT AS tp, sum(len(list_distinct(p)) - len(list_intersect(list_distinct(p), g)))::BIGINT AS fp, sum(len(g) - len(list_intersect(list_distinct(p), g)))::BIGINT AS fn FROM e GROUP BY model) {_PRF}")
+@query(f"WITH {_TURNS}, {_E}, s AS (SELECT model, sum(len(list_intersect(list_distinct(p), list_distinct(g))))::BIGINT AS tp, sum(len(list_distinct(p)) - len(list_intersect(list_distinct(p), list_distinct(g))))::BIGINT AS fp, sum(len(list_distinct(g)) - len(list_intersect(list_distinct(p), list_distinct(g))))::BIGINT AS fn FROM e GROUP BY model) {_PRF}")
 def edit_scores(spark, sf_dir):
     return _rounded(metrics.edit_scores(edited(spark, sf_dir), by=["model"]))
 
@@ -411,7 +452,7 @@ def _rounded(rows: DataFrame, counts: int | None = None) -> DataFrame:
     return rows.select("model", *n, F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-_SIDES = "k AS (SELECT model, pair_id, split_part(x, ':', 3) AS type, 0 AS side FROM (SELECT model, pair_id, unnest(p) AS x FROM e) UNION ALL SELECT model, pair_id, split_part(x, ':', 3), 1 FROM (SELECT model, pair_id, unnest(g) AS x FROM e))"
+_SIDES = "k AS (SELECT model, pair_id, replace(split_part(x, ':', 3), '-', ':') AS type, 0 AS side FROM (SELECT model, pair_id, unnest(p) AS x FROM e) UNION ALL SELECT model, pair_id, replace(split_part(x, ':', 3), '-', ':'), 1 FROM (SELECT model, pair_id, unnest(g) AS x FROM e))"
 
 
 @query(f"WITH {_TURNS}, {_E}, {_SIDES}, n AS (SELECT model, pair_id, type, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS g FROM k GROUP BY ALL), s AS (SELECT model, sum(least(p, g))::BIGINT AS tp, sum(greatest(p - g, 0))::BIGINT AS fp, sum(greatest(g - p, 0))::BIGINT AS fn FROM n GROUP BY model) {_PRF}")
@@ -437,13 +478,19 @@ def acceptability_delta(spark, sf_dir):
     return metrics.acceptability(rows, "x", "y", ["model"]).select("model", *(F.round(c, 9).alias(c) for c in ("input", "corrected", "delta")))
 
 
-@query(f"WITH {_TURNS}, {_E}, k AS (SELECT split_part(unnest(list_filter(list_concat(p, []), lambda x: NOT contains(x, 'DET'))), ':', 3) AS type FROM e), c AS (SELECT type, count(*) AS n FROM k GROUP BY type), a AS (SELECT z.type, coalesce(n, 0) AS n FROM (SELECT unnest(['SPELL', 'PUNCT', 'PREP']) AS type) z LEFT JOIN c USING (type)) SELECT type, round((n + 0.5) / sum(n + 0.5) OVER (), 9) AS p FROM a")
+@query(f"WITH {_TURNS}, {_E}, k AS (SELECT replace(split_part(unnest(p), ':', 3), '-', ':') AS type FROM e), c AS (SELECT type, count(*) AS n FROM k GROUP BY type), a AS (SELECT z.type, coalesce(n, 0) AS n FROM (SELECT unnest([{', '.join(repr(x) for x in vocab.EDIT_TYPES)}]) AS type) z LEFT JOIN c USING (type)) SELECT type, round((n + 0.5) / sum(n + 0.5) OVER (), 9) AS p FROM a")
 def smoothed_edit_types(spark, sf_dir):
-    """Shares of supported types, smoothed, of which one never occurs."""
-    found = fidelity.edit_distribution(edited(spark, sf_dir), ["SPELL", "PUNCT", "PREP"], "predicted")
+    """Shares of all supported types, smoothed, of which some don't occur."""
+    found = fidelity.edit_distribution(edited(spark, sf_dir), vocab.EDIT_TYPES, "predicted")
     return found[0].select("type", F.round("p", 9).alias("p"))
 
 
+@query(f"WITH {_TURNS}, {_E}, k AS (SELECT model, replace(split_part(unnest(p), ':', 3), '-', ':') AS type FROM e) SELECT model, type, count(*) AS n FROM k GROUP BY ALL")
+def edit_kinds(spark, sf_dir):
+    """How often each model makes each type of edit."""
+    return edited(spark, sf_dir).select("model", F.explode("predicted.type").alias("type")).groupBy("model", "type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, lang AS slice FROM documents UNION ALL SELECT doc_id, source FROM documents")
 def concatenated_samples(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -18,8 +18,14 @@ def archive_run(rows: DataFrame, path: str, run: int) -> None:
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
-    """Scores (model, metric, run, value) of some runs, added to those of earlier runs; runs that are there already are replaced. Results are views of this table."""
-    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/scores")
+    """Scores (model, metric, run, value), added to those that are there; a model's earlier scores of one of these runs are replaced, those of other models stay. Results are views of this table."""
+    at = scores.withColumn("of", F.col("model"))  # names a folder; the model's own column keeps its type and spelling
+    at.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "of").parquet(f"{path}/scores")
+
+
+def scores_of(spark: SparkSession, path: str) -> DataFrame:
+    """(model, metric, run, value) that append_scores has kept."""
+    return spark.read.parquet(f"{path}/scores").drop("of")
 
 
 def save_document(spark: SparkSession, path: str, text: str) -> None:

@@ -119,7 +119,7 @@ def test_draws(spark):
 def test_annotator_and_models(spark):
     rows = spark.createDataFrame([("He go to school .", "He goes to the school ."), ("a b", "a b"), (None, "x"), ("cat the", "the cat")], "s string, t string")
     found = [r.e for r in rows.select(edits.annotator()(F.col("s"), F.col("t")).alias("e")).collect()]
-    assert [(e.start, e.end, e.type, e.correction) for e in found[0]] == [(1, 2, "R:SPELL", "goes"), (3, 3, "M:DET", "the")]
+    assert [(e.start, e.end, e.type, e.correction) for e in found[0]] == [(1, 2, "R:VERB:SVA", "goes"), (3, 3, "M:DET", "the")]
     assert found[1] == [] and found[2] is None
     rows = texts(spark, "win $5 now!", "hello there")
     said = models.predicted(rows, {"s": models.predictor("spam", "signals"), "p": models.loaded(lambda: lambda ts: [t.upper() for t in ts])}).collect()
