@@ -100,8 +100,8 @@ def test_nulls_repeats_clashes_and_a_long_text(spark):
 def test_a_passage_that_all_have_leaves_no_entries(spark):
     """Entries grow with what documents share at most, not with the passage's number of pairs."""
     rng = random.Random(5)
-    passage = " ".join(f"p{k}" for k in range(40))
-    rows = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(60)) + " " + passage) for i in range(300)]
-    schema = "doc_id long, n long, one long, two long, first array<long>"
-    sets = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(lambda b: ngram_join._sets(b, 5, True), schema).withColumnRenamed("doc_id", "rep")
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(300)) + " " + passage) for i in range(300)]
+    schema = "doc_id long, n long, one long, two long, first array<long>, bits array<long>"
+    sets = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(lambda b: ngram_join._sets(b, 5, True), schema).withColumnRenamed("doc_id", "row")
     assert ngram_join.rare_first(sets).count() == 0
