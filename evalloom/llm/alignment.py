@@ -31,11 +31,11 @@ from tokenizers import Tokenizer
 from .shared import new_path, stored, text_slices
 
 #: Characters of the longest stretch that a task remembers, and how many it remembers before it forgets those not used of late.
-SHORT, REMEMBERED = 48, 150_000
+SHORT, REMEMBERED = 48, 60_000
 #: Pairs of ids up to which their numbers are broadcast (17 bytes each), and those that a task holds before it sums them.
-KNOWN, HELD = 1 << 22, 1 << 20
+KNOWN, HELD = 1 << 22, 1 << 19
 #: Bytes of text that a task splits at once, characters of the stretches that are encoded as one text, and tokens that are aligned at once.
-SLICE, JOINED, TOKENS = 2 << 20, 4096, 1 << 19
+SLICE, JOINED, TOKENS = 1 << 20, 4096, 1 << 18
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _PLAIN = re.compile("(?s)[!-~À-ɏ](?:.*[!-~À-ɏ])?")
 _SPACE = "▁"
