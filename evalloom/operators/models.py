@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import trained as fitted
 
-Predictor = Callable[[Column], Column]
+Predictor = Callable[[Column], Column] | fitted.Trained
 
 
 def loaded(load: Callable[[], Callable[[list[str]], list[str]]]) -> Predictor:
@@ -51,10 +52,15 @@ def words_replaced(table: dict[str, str]) -> Predictor:
     return lambda text: F.array_join(F.transform(T.spaced(text), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
 
 
+def trained(path: str) -> fitted.Trained:
+    """A pipeline that trained.save has written."""
+    return fitted.Trained(fitted.load(path))
+
+
 #: Models by task and name.
 REGISTRY: dict[str, dict[str, Callable[..., Predictor]]] = {
-    "spam": {"signals": by_signals},
-    "sentiment": {"words": by_words},
+    "spam": {"signals": by_signals, "trained": trained},
+    "sentiment": {"words": by_words, "trained": trained},
     "gec": {"unchanged": unchanged, "words_replaced": words_replaced},
 }
 
@@ -68,5 +74,9 @@ def predictor(task: str, name: str, **options) -> Predictor:
 
 def predicted(rows: DataFrame, models: dict[str, Predictor], text: str = "text") -> DataFrame:
     """One row a sample and model, with (model, prediction): one pass over the samples for all models."""
-    said = F.array(*(F.struct(F.lit(n).alias("model"), p(F.col(text)).alias("prediction")) for n, p in models.items()))
-    return rows.select("*", F.inline(said))
+    kept, said = rows.columns, {}
+    for k, (name, p) in enumerate(models.items()):
+        said[name] = F.col(f"__said{k}") if isinstance(p, fitted.Trained) else p(F.col(text))
+        rows = p.add(rows, F.col(text), f"__said{k}") if isinstance(p, fitted.Trained) else rows
+    each = F.array(*(F.struct(F.lit(n).alias("model"), c.alias("prediction")) for n, c in said.items()))
+    return rows.select(*kept, F.inline(each))

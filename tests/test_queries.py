@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from evalloom import queries, queries_analysis, queries_files  # noqa: F401  (they add their queries to the library's)
+from evalloom import queries, queries_analysis, queries_files, queries_models  # noqa: F401  (they add their queries to the library's)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
