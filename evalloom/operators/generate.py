@@ -285,13 +285,13 @@ def prompt_grid(spark: SparkSession, wordings: Mapping[str, str], demonstrations
     return spark.createDataFrame(rows, "variant string, system string, examples string, temperature double")
 
 
-def from_scenarios(spark: SparkSession, n: int, scenarios: Sequence[tuple[str, str, str]], seed: int = 0, noise: float = 0.2) -> DataFrame:
-    """(id, input, output, error_category) of n draws from scenarios (correct, incorrect, category); at the rate of noise, letters of an input are swapped, too. No client is asked."""
-    key = F.col("id")
+def from_scenarios(rows: DataFrame, key: str, scenarios: Sequence[tuple[str, str, str]], seed: int = 0, noise: float = 0.2) -> DataFrame:
+    """(key, input, output, error_category): for each row one of the scenarios (correct, incorrect, category), drawn by its key; at the rate of noise, letters of an input are swapped, too. No client is asked."""
+    of = F.col(key)
     table = F.array(*(F.struct(F.lit(b).alias("input"), F.lit(a).alias("output"), F.lit(c).alias("error_category")) for a, b, c in scenarios))
-    drawn = spark.range(n).withColumn("s", F.element_at(table, F.floor(sampling.uniform(key, "scenario", seed) * len(scenarios)).cast("int") + 1))
+    drawn = rows.withColumn("s", F.element_at(table, F.floor(sampling.uniform(of, "scenario", seed) * len(scenarios)).cast("int") + 1))
     swapped = F.replace(F.replace("s.input", F.lit("the"), F.lit("teh")), F.lit("ing"), F.lit("ign"))
-    return drawn.select("id", F.when(sampling.uniform(key, "noise", seed) < noise, swapped).otherwise(F.col("s.input")).alias("input"), "s.output", "s.error_category")
+    return drawn.select(key, F.when(sampling.uniform(of, "noise", seed) < noise, swapped).otherwise(F.col("s.input")).alias("input"), "s.output", "s.error_category")
 
 
 def offline(prompt: str) -> str:

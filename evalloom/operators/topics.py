@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.clustering import LDA
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as T
+from ..functions.vocab import STOPWORDS
 from ..session import settled
 from .generate import Client, answered, numbered
 
@@ -75,3 +79,20 @@ def profile(texts: DataFrame, key: str, label_prompt: str, consolidate_prompt: s
     rows = settled(labelled(texts, key, label_prompt, client, batch))
     counts = rows.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
     return topics(rows, settled(consolidations(counts, consolidate_prompt, client, most)), key)
+
+
+def modelled(texts: DataFrame, key: str, k: int, text: str = "text", vocabulary: int = 1 << 16, least_rows: int = 2, iterations: int = 20, seed: int = 0, words: int = 3) -> DataFrame:
+    """(key, text, label) without a client, as labelled gives them: the topic with the largest share of each text in an online variational Dirichlet model of k topics over word counts, named by its heaviest words.
+
+    The vocabulary is the most frequent words that so many texts have, stop words left out; it and the topics' weights (k times as many numbers) come to the driver. Texts without such words have no label. Equal seeds and tables of one
+    order give equal topics.
+    """
+    read = texts.select(key, F.col(text).alias("text"), T.tokens(F.col(text)).alias("__words"))
+    read = StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=STOPWORDS).transform(read)
+    counter = CountVectorizer(inputCol="__kept", outputCol="__counts", vocabSize=vocabulary, minDF=least_rows).fit(read)
+    counted = settled(counter.transform(read).select(key, "text", "__counts").where(F.exists(vector_to_array("__counts"), lambda x: x > 0)), "counts")
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="__counts", topicDistributionCol="__shares").fit(counted)
+    names = [" ".join(counter.vocabulary[i] for i in r["termIndices"]) for r in sorted(model.describeTopics(words).collect(), key=lambda r: r["topic"])]
+    shares = vector_to_array(F.col("__shares"))
+    found = model.transform(counted).select(key, F.element_at(F.array(*map(F.lit, names)), F.array_position(shares, F.array_max(shares)).cast("int")).alias("label"))
+    return texts.select(key, F.col(text).alias("text")).join(found, key, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vocab import CHAR_BINS, EDIT_TYPES, STOPWORDS, WORD_BINS
 from ..operators import edits as E
-from ..operators import fidelity, profile
+from ..operators import fidelity, profile, topics
 from ..session import settled
 
 
@@ -50,11 +50,16 @@ def classes_profile(rows: DataFrame, label: str = "label", text: str = "text", o
     return {"labels": shares, "chars": profile.text_length_stats(valid, text, [label]), "words": profile.word_count_stats(valid, text, [label]), "top_words": profile.top_ngrams_by(valid, 20, [label], 1, text, order), "top_words_nostop": profile.top_ngrams_by(valid, 20, [label], 1, text, order, STOPWORDS), "examples": profile.first_examples(valid, examples, [label], order).select(label, "rank", text)}
 
 
-def messages_profile(rows: DataFrame, order: str = "doc_id") -> dict[str, DataFrame]:
-    """Of (order, text, label): classes, signals by label, distributions of signals over spam, and each label's lengths, style and words."""
+def messages_profile(rows: DataFrame, order: str = "doc_id", labels: DataFrame | None = None, consolidated=None) -> dict[str, DataFrame]:
+    """Of (order, text, label): classes, signals by label, distributions of signals over spam, and each label's lengths, style and words. labels: (order, text, label) of topics, by a client (topics.labelled) or a model (topics.modelled);
+    with them, the topics of all messages and of each class, consolidated or as they are."""
     spam = rows.where("label = 'SPAM'").withColumn("s", T.signals(F.col("text")))
     blocks = {f"classes.{k}": v for k, v in classes_profile(rows, order=order).items()}
     blocks |= {"signals": profile.signal_rates(rows), "signal_counts": fidelity.signal_counts(spam, "s"), "signal_types": profile.label_shares(spam.select(F.explode("s").alias("signal")), "signal")}
+    if labels is not None:
+        blocks["topics"] = topics.topics(labels, consolidated, order)
+        of_class = rows.where("label IS NOT NULL").select(order, F.col("label").alias("class")).join(labels.where("label IS NOT NULL").select(order, "label"), order)
+        blocks["class_topics"] = profile.label_shares(of_class, "label", ["class"])
     return blocks | {f"label.{k}": v for k, v in _side(rows, "text", ["label"], order).items()}
 
 

@@ -134,3 +134,24 @@ def spam_distributions(reference: DataFrame) -> tuple[DataFrame, DataFrame]:
     if found is None:
         raise ValueError("the reference has fewer than 5 rows with a signal")
     return found
+
+
+def pair_distributions(reference: DataFrame, annotate: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distributions of supported types of edits and of their number in a reference of (incorrect, correct); ValueError if it has too few pairs with one."""
+    rows = reference.select((annotate or E.annotator())(F.col("incorrect"), F.col("correct")).alias("edits"))
+    found = fidelity.edit_distribution(rows, EDIT_TYPES)
+    if found is None:
+        raise ValueError("the reference has fewer than 5 pairs with a supported edit")
+    return found
+
+
+#: The distributions that each task loads from a reference.
+DISTRIBUTIONS = {"spam": spam_distributions, "gec": pair_distributions}
+
+
+def loaded_distributions(task: str, reference: DataFrame, **options) -> tuple[dict[str, float], dict[int, float]]:
+    """(types, counts) of a task's reference as settings of planned(); some tens of numbers. ValueError for a task without such distributions."""
+    if task not in DISTRIBUTIONS:
+        raise ValueError(f"{task}: no distribution is loaded; there are {sorted(DISTRIBUTIONS)}")
+    kinds, counts = (rows.collect() for rows in DISTRIBUTIONS[task](reference, **options))
+    return {r[0]: r["p"] for r in kinds}, {int(r[0]): r["p"] for r in counts}

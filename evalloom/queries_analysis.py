@@ -145,12 +145,12 @@ _SCENARIOS = [("Look at the ring.", "Look the ring.", "preposition"), ("She sing
 
 
 @query(
-    f"""WITH s AS (SELECT i AS id, [{", ".join(f"['{b}', '{a}', '{c}']" for a, b, c in _SCENARIOS)}][floor({_unit("i", "scenario")} * 3)::INT + 1] AS s, {_unit("i", "noise")} < 0.5 AS swap FROM range(0, 2000) AS r(i))
+    f"""WITH s AS (SELECT item_id AS id, [{", ".join(f"['{b}', '{a}', '{c}']" for a, b, c in _SCENARIOS)}][floor({_unit("item_id", "scenario")} * 3)::INT + 1] AS s, {_unit("item_id", "noise")} < 0.5 AS swap FROM benchmark)
     SELECT id, CASE WHEN swap THEN replace(replace(s[1], 'the', 'teh'), 'ing', 'ign') ELSE s[1] END AS input, s[2] AS output, s[3] AS error_category FROM s"""
 )
 def scenario_pairs(spark, sf_dir):
-    """2000 pairs drawn by rule, as no client is asked."""
-    return generate.from_scenarios(spark, 2000, _SCENARIOS, 1, 0.5)
+    """A pair for each item of the benchmark, drawn by rule, as no client is asked."""
+    return generate.from_scenarios(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", _SCENARIOS, 1, 0.5)
 
 
 @query("SELECT doc_id, 'zero_' || n || '_' || t AS variant, n AS shots, t::DOUBLE AS temperature FROM documents, (SELECT unnest([0, 1, 2]) AS n), (SELECT unnest(['0', '0.5']) AS t)")

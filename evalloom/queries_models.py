@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import vocab
 from .functions.numbers import rounded
-from .operators import generate, profile, sketches, syntax, topics, trained
-from .plans import profiles, report, tasks
+from .operators import answers, edits, generate, profile, sketches, syntax, topics, trained
+from .plans import report, tasks
+from .queries_files import _E, _LINE, _unit, edited, line_turns
 from .queries import _LABELLED, _SCORES, _TOK, _TURNS, _spaced, labelled, query, scores, table, turns
 from .session import shared_path
 from .sources import archive, sessions
@@ -169,3 +171,160 @@ def rounded_scores(spark, sf_dir):
     many = F.array(value / 7, F.floor(value).cast("double") + 0.00005, F.floor(value * 64).cast("double") / 64 / 100)
     rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(many).alias("k", "v"))
     return rows.select("event_id", (F.col("k") + 1).alias("k"), rounded(F.col("v")).alias("value"))
+
+
+# What generate.offline makes of a line: the first word twice, the second left out, and a word at the end.
+_CHANGED = "array_to_string(list_concat(list_concat([w[1], w[1]], w[3:]), ['now']), ' ')"
+_SEEDS = f"""l AS (SELECT pair_id, {_LINE.format("input")} AS a FROM t), p AS (SELECT row_number() OVER (ORDER BY pair_id) AS i, a, {_spaced("a")} AS w FROM l)"""
+_MODES = ("forward", "inverse", "forward_seedless", "inverse_seedless")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, seed): turns as one line each."""
+    return generate.numbered(line_turns(spark, sf_dir).select("pair_id", F.col("a").alias("seed")), "pair_id").select("n", "seed")
+
+
+@query(
+    f"""WITH {_TURNS}, {_SEEDS}, m AS (SELECT unnest({list(_MODES)}) AS mode)
+    SELECT mode, i, CASE WHEN a = '' AND mode <> 'inverse' THEN NULL WHEN mode = 'inverse' THEN a ELSE array_to_string(w, ' ') END AS original, CASE WHEN a <> '' THEN {_CHANGED} END AS corrupted,
+        CASE WHEN a = '' THEN 'call failed' END AS rejected FROM p, m WHERE NOT (mode = 'inverse_seedless' AND a = '')"""
+)
+def generated_pairs(spark, sf_dir):
+    """Pairs in all four ways, a sample for each seed, judged and none dropped; the client answers by a rule."""
+    pool = _pool(spark, sf_dir)
+    n, client, found = pool.count(), generate.Client(generate.offline), None
+    prompts = {"forward": "Write a pair like\n{sentence}", "inverse": "Put in {error_spec}\n{sentence}", "forward_seedless": "Write with {error_spec}\n{spec}", "inverse_seedless": "Put in {error_spec}\n{sentence}", "carrier": "Write\n{spec}"}
+    for name in _MODES:
+        settings = {"mode": name.split("_")[0], "seedless": name.endswith("seedless"), "sample_size": n, "prompts": prompts, "seed": 1, "judge_prompt": "Judge\n{sentence} {correction}"}
+        rows = tasks.planned(spark, tasks.TASKS["gec"], client, settings, pool).select(F.lit(name).alias("mode"), "i", "original", "corrupted", "rejected")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_CLASSES = f"CASE WHEN {_unit('i', 'class')} < 0.5 THEN 'SPAM' ELSE 'HAM' END"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE toxic WHEN 1 THEN 'SPAM' ELSE 'HAM' END AS label, {_LINE.format("text")} AS a FROM documents JOIN labels USING (doc_id)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY label) AS size, {_spaced("a")} AS w FROM d), g AS (SELECT i, {_CLASSES} AS label FROM range(1, (SELECT count(*) FROM d) + 1) r(i)),
+    x AS (SELECT i, label, a, w FROM g JOIN p USING (label) WHERE p.n = (i - 1) % size + 1), m AS (SELECT unnest(['forward', 'forward_seedless']) AS mode)
+    SELECT mode, i, label, md5(CASE WHEN a <> '' OR mode = 'forward_seedless' THEN {_CHANGED} END) AS digest, CASE WHEN mode = 'forward' THEN md5(a) ELSE md5('') END AS seed, CASE WHEN a = '' THEN 'missing seed' END AS rejected FROM x, m"""
+)
+def generated_classes(spark, sf_dir):
+    """Messages of a drawn class: imitated from a seed of the class, and without seeds."""
+    one_line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " "))
+    pool = generate.numbered(labelled(spark, sf_dir).select("doc_id", "label", one_line.alias("seed")), "doc_id", ["label"]).select("label", "n", "seed")
+    n, client, found = pool.count(), generate.Client(generate.offline), None
+    prompts = {"imitate": "Another {class_name}\n{sentence}", "SPAM": "Put {error_spec} in\n{spec}", "HAM": "Write\n{spec}"}
+    for name in ("forward", "forward_seedless"):
+        settings = {"mode": "forward", "seedless": name != "forward", "sample_size": n, "prompts": prompts, "seed": 1}
+        rows = tasks.planned(spark, tasks.TASKS["spam"], client, settings, pool)
+        rows = rows.select(F.lit(name).alias("mode"), "i", "label", F.md5(F.col("text").cast("binary")).alias("digest"), F.md5(F.col("seed").cast("binary")).alias("seed"), "rejected")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def moody(prompt: str) -> str:
+    """A client for tests that refuses some prompts, says nothing to others, repeats some and judges some to be trivial, by the number of words in the last line."""
+    words = prompt.strip().splitlines()[-1].split()
+    if prompt.startswith("Judge"):
+        return "Redundancy: trivial" if len(words) % 7 == 0 else "Redundancy: valid"
+    if len(words) % 5 == 0:
+        return "I'm sorry, I cannot do that."
+    if len(words) % 5 == 1:
+        raise ValueError("no answer")
+    if len(words) % 5 == 2:
+        return "Corrupted: " + " ".join(words)
+    return "Corrupted: " + " ".join([*words, "more"])
+
+
+@query(
+    f"""WITH {_TURNS}, {_SEEDS} SELECT CASE WHEN a = '' OR len(w) % 5 = 1 THEN 'call failed' WHEN len(w) % 5 = 0 THEN 'refused' WHEN len(w) % 5 = 2 THEN 'identical corrupted/gold' WHEN len(w) < 2 THEN 'too short' WHEN (len(w) + 1) % 7 = 0 THEN 'judge dropped' END AS rejected,
+    count(*) AS n FROM p GROUP BY ALL"""
+)
+def generation_drops(spark, sf_dir):
+    """How many samples were kept, and how many went why: no answer, refused, nothing changed, dropped by the judge."""
+    pool = _pool(spark, sf_dir)
+    rows = generate.pairs(
+        spark, generate.Client(moody, tries=1), pool.count(), prompt="Put in {error_spec}\n{sentence}", seeds=pool, mode="inverse", types={"R:SPELL": 1.0}, counts={1: 1.0}, judge_prompt="Judge {correction}\n{sentence}", judge=generate.Client(moody)
+    )
+    return generate.drops(rows)
+
+
+@query(f"WITH {_TURNS}, {_SEEDS} SELECT pair_id, CASE WHEN a <> '' THEN md5({_CHANGED}) END AS digest FROM t JOIN (SELECT l.pair_id, l.a, {_spaced('l.a')} AS w FROM l) x USING (pair_id)")
+def kept_answers(spark, sf_dir):
+    """Prompts of which half have been asked before: these answers come from the table, the others from the client."""
+    path, rows = shared_path(spark, "asked"), line_turns(spark, sf_dir).select("pair_id", "a")
+    prompt = F.when(F.col("a") != "", F.concat(F.lit("Put in\n"), "a"))
+    answers.remembered(rows.where("pair_id % 2 = 0"), prompt, generate.Client(generate.offline), "m", path)
+    found = answers.remembered(rows, prompt, generate.Client(generate.offline), "m", path)
+    said = F.regexp_extract("response", "(?m)^Corrupted: (.*)$", 1)
+    return found.select("pair_id", F.when(F.col("response").isNotNull(), F.md5(said.cast("binary"))).alias("digest"))
+
+
+_DOCUMENTS = "d AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_DOCUMENTS} SELECT conv_id, CASE conv_id % 5 WHEN 1 THEN 'broken' WHEN 2 THEN 'no meta' WHEN 3 THEN 'no results' WHEN 4 THEN 'broken' END AS reason FROM d WHERE conv_id % 5 > 0")
+def quarantined_documents(spark, sf_dir):
+    """A document for each conversation, good, broken off, or lacking something: those that are no session's, and why."""
+    path = shared_path(spark, "documents")
+    counts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    meta, results = F.lit('"meta": {"task": "spam", "model": "m"}'), F.concat(F.lit('"results": {"m": {"generated": {"f1": {"mean": '), F.col("n").cast("string"), F.lit("}}}}"))
+    k = F.col("conv_id") % 5
+    value = F.when(k == 1, F.concat(F.lit("{"), meta, F.lit(", "), F.left(results, F.lit(20)))).when(k == 2, F.concat(F.lit("{"), results, F.lit("}"))).when(k == 3, F.concat(F.lit("{"), meta, F.lit("}"))).when(k == 4, F.lit("no document"))
+    value = value.otherwise(F.concat(F.lit("{"), meta, F.lit(", "), results, F.lit("}")))
+    counts.select(value.alias("value"), F.col("conv_id").alias("conv")).repartition("conv").write.partitionBy("conv").text(path)
+    found = sessions.quarantine(spark, [path], shared_path(spark, "quarantine"), "part-*")
+    return found.select(F.regexp_extract("dir", r"conv=(\d+)$", 1).cast("long").alias("conv_id"), "reason")
+
+
+_MONTHLY = _SCORES.replace("CAST(dayofyear(ts) AS BIGINT)", "CAST(dayofyear(ts) // 31 AS BIGINT)")
+
+
+@query(
+    f"""WITH {_MONTHLY}, r AS (SELECT DISTINCT mode, run FROM e), z AS (SELECT mode, run, row_number() OVER (ORDER BY CASE mode WHEN 'inverse' THEN 0 ELSE 1 END, run)::INT AS k FROM r)
+    SELECT k AS run, model, count(*) AS n, round(sum(value), 4) AS total FROM e JOIN z USING (mode, run) GROUP BY ALL"""
+)
+def merged_sessions(spark, sf_dir):
+    """Two written sessions of one task and model, put together: the runs of both, numbered anew in the order in which the sessions are named."""
+    base = shared_path(spark, "sessions")
+    rows = scores(spark, sf_dir).select("mode", F.floor(F.col("run") / 31).cast("int").alias("run"), "model", "value")
+    folders = [f"{base}/{m}" for m in ("inverse", "forward")]
+    for mode, folder in zip(("inverse", "forward"), folders, strict=True):
+        archive.save_document(spark, f"{folder}/results.json", json.dumps({"meta": {"task": "spam", "mode": "forward", "model": "g", "runs_completed": 1}, "results": {"m": {"generated": {"f1": {"mean": 1.0, "std": 0.0}}}}}))
+        kept = rows.where(F.col("mode") == mode)
+        document = kept.groupBy("run").agg(F.to_json(F.collect_list(F.struct("model", "value"))).alias("value"))  # a run's samples are one document, as sessions keep them
+        for r in document.collect():  # months
+            archive.save_document(spark, f"{folder}/generated/run_{r['run']}.json", r["value"])
+    found = sessions.merged(spark, folders, "model string, value double")
+    return found.groupBy("run", "model").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    f"""WITH {_TURNS}, {_E}, k AS (SELECT x.side, replace(split_part(x.e, ':', 3), '-', ':') AS type, x.size FROM (SELECT 'real' AS side, unnest(p) AS e, len(p) AS size FROM e UNION ALL SELECT 'generated', unnest(g), len(g) FROM e) x),
+    m AS (SELECT avg(least(len(g), 5)) - avg(least(len(p), 5)) AS v FROM e), f AS (SELECT avg((type IN ({', '.join(repr(t) for t in vocab.EDIT_TYPES)}))::INT) FILTER (side = 'generated') - avg((type IN ({', '.join(repr(t) for t in vocab.EDIT_TYPES)}))::INT) FILTER (side = 'real') AS v FROM k),
+    s AS (SELECT side, type, count(*) AS n FROM k WHERE type IN ({', '.join(repr(t) for t in vocab.EDIT_TYPES)}) GROUP BY ALL), h AS (SELECT side, type, n / sum(n) OVER (PARTITION BY side) AS p FROM s),
+    d AS (SELECT type, coalesce(max(p) FILTER (side = 'generated'), 0) - coalesce(max(p) FILTER (side = 'real'), 0) AS v FROM h GROUP BY type)
+    SELECT 'mean_edits' AS name, round(v, 4) + 0.0 AS value FROM m UNION ALL SELECT 'supported_fraction', round(v, 4) + 0.0 FROM f UNION ALL SELECT 'type.' || type, round(v, 4) + 0.0 FROM d"""
+)
+def compared_pairs(spark, sf_dir):
+    """How far the edits of one set of pairs are from those of another: edits a pair, share of supported types, shares of types."""
+    rows = edited(spark, sf_dir).join(turns(spark, sf_dir).select("pair_id", F.col("input").alias("corrupted")), "pair_id")
+    real, generated = (rows.select("corrupted", F.col(c).alias("edits")) for c in ("predicted", "gold"))
+    found = report.compare_pairs(real, generated, vocab.EDIT_TYPES)
+    return found.where("name IN ('mean_edits', 'supported_fraction') OR startswith(name, 'type.')").select("name", (F.round("value", 4) + 0.0).alias("value"))
+
+
+@query()
+def modelled_topics(spark, sf_dir):
+    """No SQL: topics by a Dirichlet model of each language's documents' words. Tested for shares and reruns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return topics.topics(topics.modelled(docs, "doc_id", 8)).select("topic", "n", "fraction")
+
+
+@query()
+def aligned_edits(spark, sf_dir):
+    """No SQL: each model's edits of turns by the weighted alignment, which a test holds against a plain dynamic programme."""
+    rows = turns(spark, sf_dir).select("pair_id", (F.col("conv_id") % 3).alias("model"), edits.annotator()(F.col("input"), F.col("output")).alias("e"))
+    return rows.select("pair_id", "model", F.inline("e"))

@@ -38,6 +38,21 @@ def discover(spark: SparkSession, roots: Sequence[str], profiles: bool = False)
     return rows
 
 
+def quarantined(spark: SparkSession, roots: Sequence[str], name: str = "results.json") -> DataFrame:
+    """(dir, file, reason, value): documents of this name (a glob) that discover leaves out, whole, with why: broken (no JSON object, or one that breaks off), no meta, no results."""
+    schema = f"STRUCT<meta: {META}, results: {RESULTS}, __broken: STRING>"
+    read = documents(spark, roots, name).withColumn("d", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}))
+    object_ = F.regexp_like(F.col("value"), F.lit(r"(?s)^\s*\{.*\}\s*$"))
+    reason = F.when(F.col("d.__broken").isNotNull() | F.col("d").isNull() | ~object_, "broken").when(F.col("d.meta").isNull(), "no meta").when(F.col("d.results").isNull(), "no results")
+    return read.select("dir", "file", reason.alias("reason"), "value").where("reason IS NOT NULL")
+
+
+def quarantine(spark: SparkSession, roots: Sequence[str], path: str, name: str = "results.json") -> DataFrame:
+    """quarantined, written to path (what is there is replaced) and read again."""
+    quarantined(spark, roots, name).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def strict(spark: SparkSession, folder: str) -> DataFrame:
     """The one session of a folder; ValueError if it is missing or no such document."""
     try:
