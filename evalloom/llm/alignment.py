@@ -36,6 +36,8 @@ SHORT, REMEMBERED = 48, 60_000
 KNOWN, HELD = 1 << 22, 1 << 19
 #: Bytes of text that a task splits at once, characters of the stretches that are encoded as one text, and tokens that are aligned at once.
 SLICE, JOINED, TOKENS = 1 << 20, 4096, 1 << 18
+#: Texts whose ids are in one file: a task that reads a few files has their ids in few Arrow batches, of which each is held whole.
+FILE_ROWS = 1024
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _PLAIN = re.compile("(?s)[!-~À-ɏ](?:.*[!-~À-ɏ])?")
 _SPACE = "▁"
@@ -187,7 +189,7 @@ def encoded(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     found = found.mapInArrow(batches, "doc_id long, row long, a array<int>, b array<int>")
     path = new_path(docs.sparkSession, "ids")
-    found.write.option("compression", "zstd").parquet(path)
+    found.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
