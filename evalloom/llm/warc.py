@@ -11,16 +11,17 @@ revisits, which carry the response's headers but no payload.
 Defined results: a null page is an empty payload; a null page_id is never referred to unless all of its payload's are null,
 and then its rows are all responses; rows that share the largest page_id are all responses; a null url has no target line, and line ends in
 urls become spaces; other columns play no part; an empty table gives no archive and no records. Files are read whole, so a file must be below 2 GB;
-the writer keeps them near FILE_BYTES, or at one record. A file that breaks off ends at its last whole record. Compressed files
-are read as one stream, and their places are those of the plain bytes.
+the writer keeps them near FILE_BYTES, or at one record. A file that breaks off ends at its last whole record, and so does a compressed one whose
+members break off, are damaged or are followed by other bytes. Compressed files are read as one stream, and their places are those of the plain bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
+import contextlib
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,9 @@ GZIP = b"\x1f\x8b"
 #: Names of archives; the writer's own end in .txt.
 FILES = "*.{txt,warc,gz}"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+VERSION = b"WARC/1."
+#: Bytes of a damaged member that are unpacked at once.
+PIECE = 1 << 12
 RECORDS = "file string, at long, next long, record_type string, record_id string, page_id long, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
 
 
@@ -91,26 +94,75 @@ def _number(name: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def unpacked(data: bytes) -> bytes:
+    """What a compressed file's members hold, one after the other. It ends where a member breaks off or is damaged, with what came out of it, and before anything that is no member; a file that isn't compressed is as it is."""
+    if data[:2] != GZIP:
+        return data
+    parts: list[bytes] = []
+    while data[:2] == GZIP:
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error:
+            # Piece by piece, so that what is before the damage isn't lost.
+            again = zlib.decompressobj(31)
+            with contextlib.suppress(zlib.error):
+                for at in range(0, len(data), PIECE):
+                    parts.append(again.decompress(data[at : at + PIECE]))
+            break
+        if not member.eof:
+            break
+        data = member.unused_data
+    return b"".join(parts)
+
+
+def heads(data: bytes) -> Iterator[tuple[int, int, dict[bytes, tuple[int, bytes]]]]:
+    """(at, start, fields) of each line of the format's version that is followed by header lines up to an empty one: where it is, where its block starts, and each field's last place and value among the lines before that; those that are
+    placed before `at` are not its own. Lines are read once, however many versions are among them."""
+    at, end, start, whole, fields = data.find(VERSION), -1, 0, 0, {}
+    while at >= 0:
+        if data[at + len(VERSION) : at + len(VERSION) + 3] in (b"0\r\n", b"1\r\n"):
+            if end < at + len(VERSION) + 1:
+                end = data.find(b"\r\n\r\n", at + len(VERSION) + 1)
+                if end < 0:
+                    return
+                start, whole, fields, place = end + 4, at, {}, at
+                for line in data[at:end].split(b"\r\n"):
+                    if b"\r" in line or b"\n" in line:
+                        whole = place + max(line.rfind(b"\r"), line.rfind(b"\n")) + 1  # no header lines before this
+                    name, colon, value = line.partition(b":")
+                    if value:
+                        fields[name.strip().lower()] = place, value.strip()
+                    place += len(line) + 2
+            if at >= whole:
+                yield at, start, fields
+        at = data.find(VERSION, at + 1)
+
+
 def candidates(data: bytes, payloads: bool) -> Iterator[tuple]:
     """Every place of a file that looks like a record: where it is, where the next one begins, and what it holds."""
-    for found in _RECORD.finditer(data):
-        headers = _headers(found[1])
-        length, kind = headers.get("content-length", ""), headers.get("warc-type", "")
-        if not length.isdecimal():
+    for at, start, fields in heads(data):
+
+        def said(name: bytes, at: int = at, fields: dict = fields) -> str | None:
+            place, value = fields.get(name, (-1, b""))
+            return value.decode("utf-8", "replace") if place >= at else None
+
+        length, kind = said(b"content-length") or "", said(b"warc-type") or ""
+        if not re.fullmatch("[0-9]{1,18}", length):
             continue
-        start, end = found.end(), found.end() + int(length)
+        end = start + int(length)
         if data[end : end + 4] != b"\r\n\r\n":
             continue
         block = data[start:end]
         http, empty_line, payload = block.partition(b"\r\n\r\n")
         if kind == TYPES[1]:
-            said, payload = _headers(http.partition(b"\r\n")[2]).get("content-length", ""), None
-            size, digest = int(said) if said.isdecimal() else None, headers.get("warc-payload-digest", "").removeprefix("sha1:")
+            of_page, payload = _headers(http.partition(b"\r\n")[2]).get("content-length", ""), None
+            size, digest = int(of_page) if of_page.isdecimal() else None, (said(b"warc-payload-digest") or "").removeprefix("sha1:")
         else:
             payload = payload if kind == TYPES[0] and empty_line else block
             size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        name = headers.get("warc-record-id", "")
-        yield found.start(), end + 4, kind, name, _number(name), _number(headers.get("warc-refers-to", "")), size, digest, headers.get("warc-target-uri"), payload if payloads else None
+        name = said(b"warc-record-id") or ""
+        yield at, end + 4, kind, name, _number(name), _number(said(b"warc-refers-to") or ""), size, digest, said(b"warc-target-uri"), payload if payloads else None
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True, types: tuple[str, ...] = TYPES, files: str = FILES) -> DataFrame:
@@ -125,7 +177,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True, types: tuple[str
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 found, size = [], 0
                 data = content.as_py()
-                for x in candidates(gzip.decompress(data) if data[:2] == GZIP else data, payloads):
+                for x in candidates(unpacked(data), payloads):
                     found.append((file.as_py(), *x))
                     size += 300 + len(x[-1] or b"")
                     if size > BATCH_BYTES:

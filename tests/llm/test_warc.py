@@ -1,7 +1,12 @@
 """Archives: exact round trips, and payloads that look like records."""
 
 import base64
+import gzip
 import hashlib
+import os
+import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -97,3 +102,50 @@ def test_empty_table_and_null_ids(spark):
     rows = [(None, "u", "x"), (None, "u", "x"), (None, "u", "y"), (3, "u", "y"), (3, "u", "y")]
     found = warc.archive_and_read(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)).collect()
     assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in found) == ["(3, 'response', None)", "(3, 'response', None)", "(None, 'response', None)", "(None, 'response', None)", "(None, 'revisit', 3)"]
+
+
+def plain_heads(data):
+    """By one pattern: a version, header lines, an empty line."""
+    found = []
+    for at in (m.start() for m in re.finditer(rb"WARC/1\.", data)):
+        m = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n").match(data, at)
+        if m:
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in m[1].split(b"\r\n")) if v}
+            found.append((at, m.end(), fields))
+    return found
+
+
+def test_heads_are_those_of_the_pattern():
+    rng = random.Random(8)
+    parts = [b"WARC/1.1", b"WARC/1.0", b"WARC/1.2", b"WARC/1.", b"\r\n", b"\r\n", b"\r\n\r\n", b"\r", b"\n", b"Content-Length: 3", b"content-length:5", b"A:", b"x", b": ", b"Warc-Type: response"]
+    for _ in range(4000):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        found = [(at, start, {k: v for k, (place, v) in fields.items() if place >= at}) for at, start, fields in warc.heads(data)]
+        assert found == plain_heads(data)
+
+
+def test_many_versions_in_a_payload_take_linear_time():
+    data = b"WARC/1.1\r\n" * 200_000  # 2 MB without an empty line, and with one at the end
+    begun = time.perf_counter()
+    assert list(warc.candidates(data, False)) == [] and list(warc.candidates(data + b"\r\n", False)) == []
+    assert time.perf_counter() - begun < 5
+
+
+def test_broken_and_padded_compressed_files(spark):
+    """Each ends at its last whole record."""
+    folder = new_path(spark, "gz").removeprefix("file://")
+    records = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: 3\r\n\r\nab{k}\r\n\r\n".encode() for k in range(3)]
+    members = [gzip.compress(r) for r in records]
+    rng = random.Random(1)
+    noise = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 60000\r\n\r\n{rng.randbytes(30_000).hex()}\r\n\r\n".encode()
+    damaged = bytearray(gzip.compress(records[0] + noise))
+    damaged[-20_000] ^= 0xFF
+    os.makedirs(folder)
+    files = {"whole": b"".join(members), "cut": b"".join(members)[:-15], "padded": b"".join(members) + b"\0" * 50, "prose": b"".join(members) + b"no member", "damaged": members[0] + bytes(damaged), "half": members[0] + b"\x1f\x8b", "empty": b""}
+    for name, data in files.items():
+        with open(f"{folder}/{name}.gz", "wb") as f:
+            f.write(data)
+    found = {}
+    for r in warc.read(spark, f"file://{folder}").collect():
+        found.setdefault(r.file.rsplit("/", 1)[1][:-3], []).append(r.page_id)
+    assert {k: sorted(v) for k, v in found.items()} == {"whole": [0, 1, 2], "cut": [0, 1], "padded": [0, 1, 2], "prose": [0, 1, 2], "damaged": [0, 0], "half": [0]}
