@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_groups, n_ranges = max(1, math.ceil(volume / GROUP_BYTES)), max(1, math.ceil(volume / 6 / RANGE_WORDS))
     bits = min(63, max(32, math.ceil(math.log2(max(2, volume / 6 * 40)))))
     shift = _U(64 - bits)
-    grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
+    grouped = docs.where("doc_id IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
 
     def probes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = Group(table)

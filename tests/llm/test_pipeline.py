@@ -89,3 +89,21 @@ def test_near_duplicates_by_five_words(spark):
 
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == kept(5) != kept(2)
     assert {1, 6, 11} <= kept(5) and not {2, 7, 12} & kept(5) and not {1, 6, 11} & kept(2)
+
+
+def test_columns_of_a_documents_own(spark, small):
+    """Columns named like those that the stages work with come through as they are; repeated rows of an id stay or go together."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "predicted", "kept", "component_id", "found", "copies", "mark", "ids", "decoded", "n_tokens"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    docs = docs.union(docs.where("doc_id % 10 = 0"))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, before, small), "stage")
+        rows = after.select("doc_id", *(n for n in names if name != "pieces" or n not in ("ids", "n_tokens"))).collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in r.asDict() if n != "doc_id")
+        if name in ("toxicity", "near-duplicates"):
+            assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()}.items() <= {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()}.items()
+        before = after
+    assert after.columns[-3:] == ["ids", "n_tokens", "same_text"] and after.columns.count("ids") == 1
