@@ -14,19 +14,20 @@ SHINGLE_WORDS = 5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts stay; repeated rows are rated alike; other columns, whatever their names, stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.rated(docs, docs, labels).where("predicted = 0").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return toxicity.rated(rows, docs, labels).where("predicted = 0").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates by five-word shingles stays."""
+    """The document with the smallest id of each group of near-duplicates by five-word shingles stays. Rows of one id are one document, which stays or goes as a whole; documents without words or id stay; other columns play no part."""
     gone = minhash.near_duplicates(docs, SHINGLE_WORDS).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets, and n_chars follows."""
+    """Secrets are replaced by their kind in brackets, and n_chars follows where there were any. Null texts stay null; other columns stay as they are."""
     found = secrets.scan(docs, spans="__secrets")
     text = secrets.redacted(F.col("text"), F.col("__secrets"))
     n_chars = F.when(F.size("__secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
@@ -34,14 +35,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; rows of equal id, source and text are one document. A null source is a source; documents without words are taken as the draw says; other columns stay as they are."""
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces, and whether these decode to the text again."""
-    rows = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
-    return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+    """The documents with the ids of their pieces, their number, and whether they decode to the text again (null texts are empty ones). Columns of a document's own that are named like these three are replaced, others stay as they are."""
+    rows = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids="__ids", decoded="__decoded")
+    new = {"ids": F.col("__ids"), "n_tokens": F.size("__ids").cast("long"), "same_text": F.col("__decoded") == F.coalesce("text", F.lit(""))}
+    return rows.select(*(c for c in docs.columns if c not in new), *(c.alias(n) for n, c in new.items()))
 
 
 STAGES = [
