@@ -31,15 +31,15 @@ from tokenizers import Tokenizer
 from .shared import new_path, stored, text_slices
 
 #: Characters of the longest stretch that a task remembers, and how many it remembers before it forgets those not used of late.
-SHORT, REMEMBERED = 48, 60_000
+SHORT, REMEMBERED = 48, 150_000
 #: Pairs of ids up to which their numbers are broadcast (17 bytes each), and those that a task holds before it sums them.
 KNOWN, HELD = 1 << 22, 1 << 19
 #: Bytes of text that a task splits at once, characters of the stretches that are encoded as one text, and tokens that are aligned at once.
 SLICE, JOINED, TOKENS = 1 << 20, 4096, 1 << 18
 #: Texts whose ids are in one file: a task that reads a few files has their ids in few Arrow batches, of which each is held whole.
-FILE_ROWS = 1024
+FILE_ROWS = 2048
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-_PLAIN = re.compile("(?s)[!-~À-ɏ](?:.*[!-~À-ɏ])?")
+_PLAIN = frozenset(map(chr, [*range(ord("!"), ord("~") + 1), *range(ord("À"), ord("ɏ") + 1)]))
 _SPACE = "▁"
 
 
@@ -77,7 +77,7 @@ class Aligner:
         each by itself."""
         chunks, room = [], 0
         for k, s in enumerate(stretches):
-            plain = self.cuts and _PLAIN.fullmatch(s)
+            plain = self.cuts and s and s[0] in _PLAIN and s[-1] in _PLAIN
             if plain and room > len(s):
                 chunks[-1].append(k)
             else:
@@ -110,11 +110,12 @@ class Aligner:
         a_new, b_new = np.diff(a_owner, prepend=-1) > 0, np.diff(b_owner, prepend=-1) > 0
         both = a_new & b_new
         link, cut = np.flatnonzero(a_new | b_new), np.flatnonzero(both)
-        return Aligned(a_owner[link], b_owner[link], link, cut, np.flatnonzero(a_new), np.flatnonzero(b_new))
+        return Aligned(a_owner[link], b_owner[link], link, cut, np.flatnonzero(a_new), np.flatnonzero(b_new), both)
 
     def groups(self, a: np.ndarray, b: np.ndarray, of: Aligned) -> list[str]:
         """The groups' ids as text, token by token in the order of the text: in a group A's tokens come before B's, so that a token comes after those of earlier groups and, of B, those of A in its own."""
-        a_group, b_group = (np.searchsorted(of.cut, start, "right") - 1 for start in (of.a_start, of.b_start))
+        of_byte = np.cumsum(of.both, dtype=np.int32) - 1
+        a_group, b_group = of_byte[of.a_start], of_byte[of.b_start]
         a_until, b_until = (np.searchsorted(g, np.arange(len(of.cut) + 1)) for g in (a_group, b_group))
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + b_until[a_group]] = a + len(self.a_bytes) * np.diff(a_group, append=-1).astype(bool)
@@ -123,7 +124,7 @@ class Aligner:
 
 
 class Aligned(NamedTuple):
-    """The links' tokens of A and of B, and the bytes at which links, groups, A's and B's tokens begin."""
+    """The links' tokens of A and of B, the bytes at which links, groups, A's and B's tokens begin, and of each byte whether a group begins there."""
 
     a_link: np.ndarray
     b_link: np.ndarray
@@ -131,6 +132,7 @@ class Aligned(NamedTuple):
     cut: np.ndarray
     a_start: np.ndarray
     b_start: np.ndarray
+    both: np.ndarray
 
 
 class Memory:
