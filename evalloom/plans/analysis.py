@@ -54,6 +54,8 @@ def rescored(task: Task, samples: DataFrame, predictors: Mapping[str, models.Pre
 def results(rows: DataFrame) -> dict[str, dict]:
     """Nested scores as a session's document has them; a metric a.b is b below a. A model's runs have a block each, an empty one where a run of the session has none of its values. For models and metrics, some hundred rows."""
     found: dict[str, dict] = {}
+    if "run_numbers" not in rows.columns:  # no run is lacking
+        rows = rows.withColumn("run_numbers", F.transform("runs", lambda _, k: k + 1))
     rows = rows.orderBy("model", "metric").collect()
     place = {run: k for k, run in enumerate(sorted({n for r in rows for n in r["run_numbers"] or ()}))}
 

@@ -39,7 +39,7 @@ def discover(spark: SparkSession, roots: Sequence[str], profiles: bool = False)
 
 
 def quarantined(spark: SparkSession, roots: Sequence[str], name: str = "results.json") -> DataFrame:
-    """(dir, file, reason, value): documents of this name (a glob) that discover leaves out, whole, with why: broken (no JSON object, or one that breaks off), no meta, no results."""
+    """(dir, file, reason, value): documents of this name (a glob) that discover leaves out, whole, with why: broken (no JSON object, or one that breaks off), no meta, no results. A file of no bytes is none of them, as Spark's scans pass it over."""
     schema = f"STRUCT<meta: {META}, results: {RESULTS}, __broken: STRING>"
     read = documents(spark, roots, name).withColumn("d", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}))
     object_ = F.regexp_like(F.col("value"), F.lit(r"(?s)^\s*\{.*\}\s*$"))
