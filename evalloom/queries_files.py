@@ -13,7 +13,7 @@ from .operators import edits, fidelity, generate, metrics, profile, runs, sampli
 from .plans import report, tasks
 from .queries import _LABELLED, _SCORES, _spaced, _TURNS, _WS, labelled, query, table, turns
 from .queries import scores as daily_scores
-from .session import shared_path
+from .session import settled, shared_path
 from .sources import archive, corpora, sessions
 
 _CLEAN = "coalesce({}, '')"
@@ -436,7 +436,8 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.replace(F.replace("output", F.lit("en "), F.lit("ens ")), F.lit("e "), F.lit("ed "))
     rows = turns(spark, sf_dir).select("pair_id", "conv_id", (F.col("conv_id") % 3).alias("model"), edits.by_place(F.col("input"), F.col("output")).alias("predicted"), edits.by_place(F.col("input"), wanted).alias("gold"))
     bare = lambda e: F.transform(e, lambda x: F.struct(x["start"], x["end"], x["type"]))
-    return rows.select("pair_id", "conv_id", "model", bare("predicted").alias("predicted"), bare("gold").alias("gold"))
+    found = rows.select("pair_id", "conv_id", "model", bare("predicted").alias("predicted"), bare("gold").alias("gold"))
+    return settled(found, "edits")  # the scores read them several times
 
 
 _PRF = """SELECT model, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM s"""

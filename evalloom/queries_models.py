@@ -15,7 +15,7 @@ from .plans import report, tasks
 from .queries_files import _E, _LINE, _unit, edited, line_turns
 from .queries import _LABELLED, _SCORES, _TOK, _TURNS, _spaced, labelled, query, scores, table, turns
 from .session import shared_path
-from .sources import archive, sessions
+from .sources import archive, corpora, sessions
 from .streaming import late
 from .streaming.runs import latest
 
@@ -316,6 +316,15 @@ def compared_pairs(spark, sf_dir):
     return found.where("name IN ('mean_edits', 'supported_fraction') OR startswith(name, 'type.')").select("name", (F.round("value", 4) + 0.0).alias("value"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 > 0 THEN lang WHEN doc_id % 3 = 0 THEN source ELSE md5(text) END AS seed FROM documents WHERE nullif(text, '') IS NOT NULL OR doc_id % 3 = 0")
+def fallback_seeds(spark, sf_dir):
+    """Seeds of rows whose text is in one of three columns, or of none of them."""
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").where("text <> '' OR doc_id % 3 = 0")
+    rows = docs.select("doc_id", F.when(i % 3 > 0, F.md5(F.col("text").cast("binary"))).alias("text"), F.when(i % 5 == 0, "").otherwise(F.col("lang")).alias("correct"), F.col("source").alias("target"), F.lit("no").alias("label"))
+    return corpora.seeds(rows, ["doc_id"])
+
+
 @query()
 def modelled_topics(spark, sf_dir):
     """No SQL: topics by a Dirichlet model of each language's documents' words. Tested for shares and reruns."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # The names that fields go by, in order of preference.
+SEED_NAMES = ("text", "correct", "target")
 INPUT_NAMES = ("input", "text", "incorrect")
 OUTPUT_NAMES = ("output", "correct", "target")
 MESSAGE_NAMES = ("text", "message", "sms")
@@ -120,6 +121,13 @@ def pairs(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return found.where("incorrect IS NOT NULL AND correct IS NOT NULL")
 
 
+def seeds(rows: DataFrame, keep: Sequence[str] = (), names: Sequence[str] = SEED_NAMES) -> DataFrame:
+    """(seed): the first text of any data set's rows that is neither null nor empty, by the names that such columns have; ValueError if the frame has none of them, for any other column would be a guess."""
+    if not {*names} & {*rows.columns}:
+        raise ValueError(f"none of the columns {', '.join(names)}; there are {', '.join(rows.columns)}")
+    return rows.select(*keep, field(rows, names).alias("seed")).where("seed IS NOT NULL")
+
+
 def ham(rows: DataFrame, keep: Sequence[str] = (), label: str = "label") -> DataFrame:
     """(incorrect): messages whose label, not stripped, is neither spam nor 1; those without a label stay."""
     said = F.lower(F.coalesce(F.col(label).cast("string"), F.lit(""))) if label in rows.columns else F.lit("")

@@ -98,3 +98,13 @@ def test_models_scored_one_after_another(spark, tmp_path):
         archive.append_scores(spark.createDataFrame(rows, schema), str(tmp_path))
     found = sorted(map(tuple, archive.scores_of(spark, str(tmp_path)).select("model", "metric", "run", "value").collect()))
     assert found == [("007", "f1", 1, 0.9), ("007", "f1", 2, 0.2), ("007", "gleu", 1, 0.8), ("org/b=c", "f1", 1, 0.3)]
+
+
+def test_seeds_by_any_name(spark):
+    from evalloom.sources import corpora
+
+    rows = spark.createDataFrame([("", None, "c"), (None, "b", "c"), ("a", "b", "c"), (None, "", None)], "text string, correct string, target string")
+    assert [r.seed for r in corpora.seeds(rows).collect()] == ["c", "b", "a"]
+    assert [r.seed for r in corpora.seeds(rows.select("target")).collect()] == ["c", "c", "c"]
+    with pytest.raises(ValueError):
+        corpora.seeds(rows.select(F.col("text").alias("body")))
