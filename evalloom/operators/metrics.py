@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,29 +52,47 @@ def accuracy_by(rows: DataFrame, by: Sequence[str], label: str = "label", predic
     return rows.groupBy(*by).agg(F.count("*").alias("n"), ratio(F.count_if(F.col(label) == F.col(prediction)), F.count("*")).alias("accuracy"))
 
 
-def ngram_matches(rows: DataFrame, key: Sequence[str], reference: str, hypothesis: str, most: int = 4, lower: bool = False) -> DataFrame:
-    """(key, n, matches, reference_total, hypothesis_total) for n-grams of 1 to most words; rows without n-grams of a length are left out."""
+def row_matches(reference: str, hypothesis: str, most: int = 4, lower: bool = False) -> Column:
+    """An array of (n, matches, reference_total, hypothesis_total) of two texts, n-grams of 1 to most words; lengths without n-grams are left out. Nothing is shuffled, and what a task holds is one batch of texts."""
+
+    @F.pandas_udf("array<struct<n: int, matches: long, reference_total: long, hypothesis_total: long>>")
+    def matches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Of each length up to most: n-grams that both texts have, repeated ones as often as both have them, and each text's number of them."""
+        for references, hypotheses, most in batches:
+            found = []
+            for a, b, top in zip(references, hypotheses, most, strict=True):
+                x, y = (a or "").split(), (b or "").split()
+                row = []
+                for n in range(1, top + 1):
+                    r, h = (Counter(zip(*(w[k:] for k in range(n)), strict=False)) for w in (x, y))
+                    if r or h:
+                        row.append({"n": n, "matches": sum(min(c, h[g]) for g, c in r.items() if g in h), "reference_total": r.total(), "hypothesis_total": h.total()})
+                found.append(row)
+            yield pd.Series(found, dtype=object)
 
-    def grams(column: str) -> Column:
-        words = T.spaced(F.lower(column) if lower else F.col(column))
-        return T.let(words, lambda w: F.array(*(T.ngrams(w, n) for n in range(1, most + 1))))
+    sides = [F.lower(c) if lower else F.col(c) for c in (reference, hypothesis)]
+    return matches(*sides, F.lit(most))
 
-    sides = [rows.select(*key, F.lit(k).alias("side"), F.posexplode(grams(c)).alias("n", "grams")).select(*key, "side", (F.col("n") + 1).alias("n"), F.explode("grams").alias("gram")) for k, c in enumerate((reference, hypothesis))]
-    counts = sides[0].union(sides[1]).groupBy(*key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
-    return counts.groupBy(*key, "n").agg(F.sum(F.least("r", "h")).alias("matches"), F.sum("r").alias("reference_total"), F.sum("h").alias("hypothesis_total"))
+
+def ngram_matches(rows: DataFrame, key: Sequence[str], reference: str, hypothesis: str, most: int = 4, lower: bool = False) -> DataFrame:
+    """(key, n, matches, reference_total, hypothesis_total) for n-grams of 1 to most words; rows without n-grams of a length are left out. key names a row."""
+    return rows.select(*key, F.inline(row_matches(reference, hypothesis, most, lower)))
 
 
 def gleu(rows: DataFrame, key: Sequence[str], reference: str, hypothesis: str) -> DataFrame:
-    """(key, gleu): matches of all 1- to 4-grams over the larger side's number of them; 0 without words."""
-    pooled = ngram_matches(rows, key, reference, hypothesis).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("matches", "reference_total", "hypothesis_total")))
-    return rows.select(*key).join(pooled, [*key], "left").select(*key, ratio(F.col("matches"), F.greatest("reference_total", "hypothesis_total")).alias("gleu"))
+    """(key, gleu): matches of all 1- to 4-grams over the larger side's number of them; 0 without words. key names a row."""
+    total = lambda c: F.aggregate(F.col("__m")[c], F.lit(0).cast("long"), lambda x, y: x + y)
+    found = rows.select(*key, row_matches(reference, hypothesis).alias("__m"))
+    return found.select(*key, ratio(total("matches"), F.greatest(total("reference_total"), total("hypothesis_total"))).alias("gleu"))
 
 
 def geometric_gleu(rows: DataFrame, key: Sequence[str], reference: str, hypothesis: str) -> DataFrame:
-    """(key, gleu): exp of a quarter of the sum of logarithms, a length by its own matches, lower-case; 0 if a length has none."""
-    share = F.try_divide(F.col("matches").cast("double"), F.greatest("reference_total", "hypothesis_total").cast("double"))
-    found = ngram_matches(rows, key, reference, hypothesis, lower=True).groupBy(*key).agg(F.when(F.min("matches") > 0, F.exp(F.sum(F.ln(share)) / 4)).otherwise(0.0).alias("gleu"))
-    return rows.select(*key).join(found, [*key], "left").select(*key, F.coalesce("gleu", F.lit(0.0)).alias("gleu"))
+    """(key, gleu): exp of a quarter of the sum of logarithms, a length by its own matches, lower-case; 0 if a length has none. key names a row."""
+    share = lambda m: m["matches"].cast("double") / F.greatest(m["reference_total"], m["hypothesis_total"]).cast("double")
+    found = rows.select(*key, row_matches(reference, hypothesis, lower=True).alias("__m"))
+    logs = F.aggregate("__m", F.lit(0.0), lambda x, m: x + F.ln(share(m)))
+    some = (F.size("__m") > 0) & F.forall("__m", lambda m: m["matches"] > 0)
+    return found.select(*key, F.when(some, F.exp(logs / 4)).otherwise(0.0).alias("gleu"))
 
 
 def correction_extent(rows: DataFrame, source: str, target: str, by: Sequence[str] = ()) -> DataFrame:
