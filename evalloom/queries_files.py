@@ -431,12 +431,12 @@ _E = f"""u AS (SELECT *, replace(replace(output, 'en ', 'ens '), 'e ', 'ed ') AS
     e AS (SELECT u.pair_id, conv_id, conv_id % 3 AS model, coalesce(p.x, []) AS p, coalesce(g.x, []) AS g FROM u LEFT JOIN p ON p.pair_id = u.pair_id LEFT JOIN g ON g.pair_id = u.pair_id)"""
 
 
-def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits from a turn to its answer, and to the answer with other endings, word by word."""
+def edited(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Edits from a turn to its answer, and to the answer with other endings, word by word; with the columns of keep (input, output). To join these later would broadcast the edits, whose files are much smaller than they are in memory."""
     wanted = F.replace(F.replace("output", F.lit("en "), F.lit("ens ")), F.lit("e "), F.lit("ed "))
-    rows = turns(spark, sf_dir).select("pair_id", "conv_id", (F.col("conv_id") % 3).alias("model"), edits.by_place(F.col("input"), F.col("output")).alias("predicted"), edits.by_place(F.col("input"), wanted).alias("gold"))
+    rows = turns(spark, sf_dir).select("pair_id", "conv_id", (F.col("conv_id") % 3).alias("model"), *keep, edits.by_place(F.col("input"), F.col("output")).alias("predicted"), edits.by_place(F.col("input"), wanted).alias("gold"))
     bare = lambda e: F.transform(e, lambda x: F.struct(x["start"], x["end"], x["type"]))
-    found = rows.select("pair_id", "conv_id", "model", bare("predicted").alias("predicted"), bare("gold").alias("gold"))
+    found = rows.select("pair_id", "conv_id", "model", *keep, bare("predicted").alias("predicted"), bare("gold").alias("gold"))
     return settled(found, "edits")  # the scores read them several times
 
 
