@@ -85,7 +85,7 @@ _CORR = f"""SELECT e.pair_id, e.model, CASE WHEN e.pair_id % 2 = 0 THEN 'generat
 
 def _corrected(spark, sf_dir) -> DataFrame:
     k = F.col("conv_id")
-    rows = edited(spark, sf_dir).join(turns(spark, sf_dir).drop("conv_id"), "pair_id")
+    rows = edited(spark, sf_dir, "input", "output")
     return rows.select(
         F.col("pair_id").alias("id"), "model", F.when(F.col("pair_id") % 2 == 0, "generated").otherwise("original").alias("dataset"), "input",
         F.when(k % 7 != 0, F.col("output")).alias("corrected"), F.when(k % 5 == 0, "").otherwise(F.col("input")).alias("truth"),
