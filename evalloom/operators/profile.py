@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocab import QUANTILES, SIGNAL_RATES, STOPWORDS, bin_label
+from ..session import settled
 
 
 def missing_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,13 +37,50 @@ def word_count_stats(rows: DataFrame, text: str = "text", by: Sequence[str] = ()
     return numeric_stats(nonblank(rows, text), F.size(T.tokens(F.col(text))), by)
 
 
+#: Buckets of hashed n-grams, and of these the fullest ones, whose n-grams give the first bound.
+BUCKETS, FULLEST = 1 << 20, 256
+#: Of so many rows one is read for that bound, by a hash of the row's key; counts of a part are bounds of those of the whole, too.
+BOUND_OF = 8
+
+
+def _frequent(grams: DataFrame, k: int, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of grams (by, order, ngram, ...) without such n-grams as are surely not among a slice's k most frequent.
+
+    A bucket's rows are as many as those of each of its n-grams at least. The k-th count among the n-grams of the fullest buckets, in some of the rows, is no more than the k-th of all, so n-grams of buckets with fewer rows can't be
+    among the first k; all others stay. So only numbers of buckets are shuffled for rare n-grams, not the n-grams themselves. The set of kept buckets is broadcast: BUCKETS of a slice at most.
+    """
+    hashed = grams.withColumn("__b", F.pmod(F.xxhash64("ngram"), F.lit(BUCKETS)).cast("int"))
+    full = settled(hashed.groupBy(*by, "__b").agg(F.count("*").alias("__all")), "buckets")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__all"), "__b"))
+    fullest = full.withColumn("__k", place).where(F.col("__k") <= FULLEST).select(*by, "__b")
+
+    def of(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        right = buckets.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__b").alias("__of"))
+        same = F.col("__b") == F.col("__of")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        return rows.join(F.broadcast(right), same, "left_semi").drop("__b")
+
+    counts = of(hashed.where(F.pmod(F.xxhash64(order), F.lit(BOUND_OF)) == 0), fullest).groupBy(*by, "ngram").agg(F.count("*").alias("n"))
+    kth = counts.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n")))).where(F.col("__k") == k)
+    least = kth.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("n").alias("__least"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    kept = full.join(F.broadcast(least), same, "left").where(F.col("__all") >= F.coalesce("__least", F.lit(1)))  # a row a slice
+    return of(hashed, settled(kept.select(*by, "__b"), "kept"))
+
+
 def top_ngrams(rows: DataFrame, k: int, n: int = 1, text: str = "text", order: str = "doc_id", drop: Sequence[str] = ()) -> DataFrame:
     """(ngram, n): the k most frequent; of equal counts the one seen first in the order of rows.
 
     Counts and first rows decide but for n-grams of one row; only these, at most k and the n-grams of one row, are looked for again, in their first rows.
     """
     grams = T.tokens(F.col(text), drop) if n == 1 else T.ngrams(T.tokens(F.col(text), drop), n)
-    counts = rows.select(order, F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    each = rows.select(order, F.explode(grams).alias("ngram"))
+    counts = (each if n == 1 else _frequent(each, k, order)).groupBy("ngram").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    if n > 1:
+        counts = settled(counts, "counts")
     place = F.struct((-F.col("n")).alias("n"), "first")
     last = counts.orderBy(F.desc("n"), "first").limit(k).agg(F.max(place).alias("last"))  # one row
     found = counts.join(F.broadcast(last), place <= F.col("last")).drop("last")
@@ -54,7 +92,8 @@ def top_ngrams(rows: DataFrame, k: int, n: int = 1, text: str = "text", order: s
 def top_ngrams_by(rows: DataFrame, k: int, by: Sequence[str], n: int = 1, text: str = "text", order: str = "doc_id", drop: Sequence[str] = ()) -> DataFrame:
     """(by, rank, ngram, n): the k most frequent of each slice; of equal counts the one seen first. Each task passes on at most k of a slice."""
     grams = T.tokens(F.col(text), drop) if n == 1 else T.ngrams(T.tokens(F.col(text), drop), n)
-    counts = rows.select(*by, order, F.posexplode(grams).alias("at", "ngram")).groupBy(*by, "ngram").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
+    each = rows.select(*by, order, F.posexplode(grams).alias("at", "ngram"))
+    counts = (each if n == 1 else _frequent(each, k, order, by)).groupBy(*by, "ngram").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))
     return counts.withColumn("rank", place).where(F.col("rank") <= k).select(*by, "rank", "ngram", "n")
 

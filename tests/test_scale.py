@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evalloom import queries_analysis, queries_files
-from evalloom.operators import metrics
+from evalloom.functions import text as T
+from evalloom.operators import metrics, profile
 
 
 def _plan(frame) -> str:
@@ -29,3 +32,14 @@ def test_gleu_compares_within_a_row(spark):
     assert {r.k: round(r.gleu, 9) for r in geometric.collect()} == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0}
     matches = metrics.ngram_matches(rows, ["k"], "r", "h").where("k = 1").orderBy("n").collect()
     assert [tuple(r)[1:] for r in matches] == [(1, 3, 5, 4), (2, 2, 4, 3), (3, 1, 3, 2), (4, 0, 2, 1)]
+
+
+def test_rare_ngrams_are_left_out_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BUCKETS", 64)
+    monkeypatch.setattr(profile, "BOUND_OF", 2)
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "l").alias("lang"), F.concat(F.lit("the same words "), F.col("id"), F.lit(" x"), F.col("id")).alias("text"))
+    grams = rows.select("lang", "doc_id", F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("ngram"))
+    assert 600 <= profile._frequent(grams, 2, "doc_id").count() < grams.count()
+    assert [tuple(r) for r in profile.top_ngrams(rows, 3, 2).collect()] == [("the same", 300), ("same words", 300), ("words 0", 1)]
+    found = profile.top_ngrams_by(rows, 2, ["lang"], 2).orderBy("lang", "rank").collect()
+    assert [tuple(r) for r in found] == [(None, 1, "the same", 100), (None, 2, "same words", 100), ("l", 1, "the same", 200), ("l", 2, "same words", 200)]
