@@ -39,9 +39,14 @@ def discover(spark: SparkSession, roots: Sequence[str], profiles: bool = False)
 
 
 def quarantined(spark: SparkSession, roots: Sequence[str], name: str = "results.json") -> DataFrame:
-    """(dir, file, reason, value): documents of this name (a glob) that discover leaves out, whole, with why: broken (no JSON object, or one that breaks off), no meta, no results. A file of no bytes is none of them, as Spark's scans pass it over."""
+    """unusable of the documents of this name (a glob). A file of no bytes is none of them, as Spark's scans pass it over."""
+    return unusable(documents(spark, roots, name))
+
+
+def unusable(rows: DataFrame) -> DataFrame:
+    """(dir, file, reason, value) of documents (dir, file, value), each a file's or a row of a table that holds many: those that discover leaves out, whole, with why: broken (no JSON object, or one that breaks off), no meta, no results."""
     schema = f"STRUCT<meta: {META}, results: {RESULTS}, __broken: STRING>"
-    read = documents(spark, roots, name).withColumn("d", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}))
+    read = rows.withColumn("d", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}))
     object_ = F.regexp_like(F.col("value"), F.lit(r"(?s)^\s*\{.*\}\s*$"))
     reason = F.when(F.col("d.__broken").isNotNull() | F.col("d").isNull() | ~object_, "broken").when(F.col("d.meta").isNull(), "no meta").when(F.col("d.results").isNull(), "no results")
     return read.select("dir", "file", reason.alias("reason"), "value").where("reason IS NOT NULL")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom import queries_analysis, queries_files
+from evalloom import queries_analysis, queries_files, queries_models
 from evalloom.functions import text as T
 from evalloom.operators import metrics, profile
+from evalloom.sources import sessions
 
 
 def _plan(frame) -> str:
@@ -43,3 +44,18 @@ def test_rare_ngrams_are_left_out_before_they_are_counted(spark, monkeypatch):
     assert [tuple(r) for r in profile.top_ngrams(rows, 3, 2).collect()] == [("the same", 300), ("same words", 300), ("words 0", 1)]
     found = profile.top_ngrams_by(rows, 2, ["lang"], 2).orderBy("lang", "rank").collect()
     assert [tuple(r) for r in found] == [(None, 1, "the same", 100), (None, 2, "same words", 100), ("l", 1, "the same", 200), ("l", 2, "same words", 200)]
+
+
+def test_packed_documents_are_judged_as_files(spark, tmp_path):
+    values = {"a": "no document", "b": '{"results": {}}', "c": '{"meta": {"task": "spam"}}', "d": '{"meta": {"task": "spam"}, "results": {}}'}
+    for name, value in values.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "results.json").write_text(value)
+    packed = spark.createDataFrame([(n, "results.json", v) for n, v in values.items()], "dir string, file string, value string")
+    found = {r.dir: r.reason for r in sessions.unusable(packed).collect()}
+    assert found == {r.dir[-1]: r.reason for r in sessions.quarantined(spark, [f"file://{tmp_path}"]).collect()} == {"a": "broken", "b": "no meta", "c": "no results"}
+
+
+def test_quarantined_documents_are_not_a_file_each(spark, small):
+    found = queries_models.quarantined_documents(spark, small)
+    assert found.count() == 16 and len(found.inputFiles()) < 16
