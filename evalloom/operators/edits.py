@@ -230,6 +230,34 @@ def cost(a: str, b: str) -> int:
     return (0 if base(a) == base(b) else BASES) + classes + LETTERS - LETTERS * (n + m) // max(len(a), len(b))
 
 
+def costs_of(a: list[str], b: list[str]) -> np.ndarray:
+    """cost of each word of a and each of b, worked out for distinct words and many at once."""
+    ua, ub = ({w: k for k, w in enumerate(dict.fromkeys(words))} for words in (a, b))
+    la, lb = [w.lower() for w in ua], [w.lower() for w in ub]
+    ids: dict[str, int] = {}
+    bases = [np.array([ids.setdefault(base(w), len(ids)) for w in words]) for words in (la, lb)]
+    x, y = (np.array([_class(w) for w in words]) for words in (la, lb))
+    sizes = [np.array([len(w) for w in words]) for words in (la, lb)]
+    width = int(max(sizes[0].max(), sizes[1].max()))
+    letters = [[np.array(ws, dtype=f"U{width}").view(np.uint32).reshape(len(ws), width) for ws in (words, [w[::-1] for w in words])] for words in (la, lb)]
+    same = bases[0][:, None] == bases[1][None, :]
+    found = np.where(same, 0, BASES) + np.where(x[:, None] == y[None, :], np.where(x == 0, OPEN, 0)[:, None], CLASSES)
+    at = np.arange(width)
+    step = max(1, CELLS // (len(ub) * width))
+    for i in range(0, len(ua), step):
+        rows = slice(i, i + step)
+        most = np.minimum(sizes[0][rows, None], sizes[1][None, :])
+        inside = at < most[:, :, None]
+        n, m = (np.logical_and.accumulate((letters[0][k][rows, None, :] == letters[1][k][None, :, :]) & inside, axis=2).sum(axis=2) for k in (0, 1))
+        shared = n + np.minimum(m, most - n)
+        found[rows] += LETTERS - LETTERS * shared // np.maximum(sizes[0][rows, None], sizes[1][None, :])
+        found[rows][(shared == most) & (sizes[0][rows, None] == sizes[1][None, :])] = CASE
+    for w, i in ua.items():
+        if w in ub:
+            found[i, ub[w]] = 0
+    return found[np.ix_([ua[w] for w in a], [ub[w] for w in b])]
+
+
 def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int, int, int]]]:
     """The least cost, and steps (=, R, D, I or T, then the words' bounds in a and b) of that cost: a word left out or put in is ALONE, k words in another order k - 1 times that."""
     la, lb = [w.lower() for w in a], [w.lower() for w in b]
@@ -242,14 +270,11 @@ def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int,
             for j in at.get(tuple(sorted(la[i : i + k])), ()):
                 if la[i : i + k] != lb[j : j + k]:
                     runs.setdefault(i + k, []).append((j + k, k))
-    distinct, which = (np.unique(np.array(b, dtype=object), return_inverse=True)) if b else (np.array([], dtype=object), np.array([], np.int64))
     table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
     steps = ALONE * np.arange(len(b) + 1)
     table[0] = steps
-    costs = np.zeros((len(a), len(b)), np.int64)
-    for i, word in enumerate(a):
-        if len(b):
-            costs[i] = np.array([cost(word, w) for w in distinct], np.int64)[which]
+    costs = costs_of(a, b) if a and b else np.zeros((len(a), len(b)), np.int64)
+    for i in range(len(a)):
         row = table[i] + ALONE
         row[1:] = np.minimum(row[1:], table[i, :-1] + costs[i])
         for j, k in runs.get(i + 1, ()):

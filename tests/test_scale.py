@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom import queries_analysis, queries_files, queries_models
 from evalloom.functions import text as T
-from evalloom.operators import metrics, profile
+from evalloom.operators import edits, metrics, profile
 from evalloom.sources import sessions
 
 
@@ -59,3 +59,8 @@ def test_packed_documents_are_judged_as_files(spark, tmp_path):
 def test_quarantined_documents_are_not_a_file_each(spark, small):
     found = queries_models.quarantined_documents(spark, small)
     assert found.count() == 16 and len(found.inputFiles()) < 16
+
+
+def test_costs_of_many_words_are_those_of_each_pair():
+    a, b = "The walked café İx .. children a".split(), "the walking cafés ix . child an children".split()
+    assert edits.costs_of(a, b).tolist() == [[edits.cost(x, y) for y in b] for x in a]
