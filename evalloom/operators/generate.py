@@ -22,6 +22,8 @@ from ..session import settled
 from . import sampling
 
 POLICIES = ("cross_class", "same_class", "none")
+#: Characters of responses that a task holds before it passes them on.
+PASSED_ON = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ def answered(rows: DataFrame, prompt: Column, client: Client, into: str) -> Data
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            found = []
+            found, size = [], 0
             for p in prompts:
                 said = None
                 for k in range(client.tries if p is not None else 0):
@@ -53,7 +55,12 @@ def answered(rows: DataFrame, prompt: Column, client: Client, into: str) -> Data
                 if client.delay and p is not None:
                     time.sleep(client.delay)
                 found.append(said)
-            yield pd.Series(found, dtype=object)
+                size += len(said or "")
+                if size > PASSED_ON:  # a whole batch's responses are never held
+                    yield pd.Series(found, dtype=object)
+                    found, size = [], 0
+            if found or not len(prompts):
+                yield pd.Series(found, dtype=object)
 
     if client.parallel:
         rows = rows.repartition(client.parallel)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom import queries_analysis, queries_files, queries_models
 from evalloom.functions import text as T
-from evalloom.operators import edits, metrics, profile
+from evalloom.operators import edits, generate, metrics, profile
 from evalloom.sources import sessions
 
 
@@ -64,3 +64,10 @@ def test_quarantined_documents_are_not_a_file_each(spark, small):
 def test_costs_of_many_words_are_those_of_each_pair():
     a, b = "The walked café İx .. children a".split(), "the walking cafés ix . child an children".split()
     assert edits.costs_of(a, b).tolist() == [[edits.cost(x, y) for y in b] for x in a]
+
+
+def test_responses_are_passed_on_before_a_batch_ends(spark, monkeypatch):
+    monkeypatch.setattr(generate, "PASSED_ON", 100)
+    rows = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.lit(20))).alias("p"))
+    found = generate.answered(rows, F.col("p"), generate.Client(lambda p: p), "said").collect()
+    assert len(found) == 500 and all(r.said == r.p for r in found)
