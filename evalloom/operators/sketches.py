@@ -27,9 +27,10 @@ def sketched(rows: DataFrame, by: Sequence[str] = (), text: str = "text") -> Dat
     read = nonblank(rows, text).select(*by, T.tokens(F.col(text)).alias("__w"), F.length(text).alias("chars"))
     each = read.select(*by, F.size("__w").alias("words"), "chars", F.posexplode_outer("__w").alias("__at", "__word"))
     first = F.coalesce(F.col("__at") == 0, F.lit(True))  # one row of a text stands for it
+    each = each.select(*by, "__word", *(F.when(first, F.col(name)).cast("long").alias(name) for name in NUMBERS))  # once, not in each aggregate
     numbers = []
     for name in NUMBERS:
-        v = F.when(first, F.col(name)).cast("long")
+        v = F.col(name)
         numbers += [
             F.sum(v).alias(f"{name}_sum"),
             F.sum(v.cast("double") * v).alias(f"{name}_squares"),
@@ -39,7 +40,7 @@ def sketched(rows: DataFrame, by: Sequence[str] = (), text: str = "text") -> Dat
         ]
     word = F.col("__word")
     return each.groupBy(*by).agg(
-        F.count_if(first).alias("texts"), *numbers, F.count(word).alias("tokens"), F.hll_sketch_agg(word, BUCKETS).alias("vocabulary"), F.expr(f"approx_top_k_accumulate(__word, {TRACKED})").alias("frequent")
+        F.count("words").alias("texts"), *numbers, F.count(word).alias("tokens"), F.hll_sketch_agg(word, BUCKETS).alias("vocabulary"), F.expr(f"approx_top_k_accumulate(__word, {TRACKED})").alias("frequent")
     )
 
 

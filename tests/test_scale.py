@@ -71,3 +71,14 @@ def test_responses_are_passed_on_before_a_batch_ends(spark, monkeypatch):
     rows = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.lit(20))).alias("p"))
     found = generate.answered(rows, F.col("p"), generate.Client(lambda p: p), "said").collect()
     assert len(found) == 500 and all(r.said == r.p for r in found)
+
+
+def test_sketches_are_held_against_exact_values_in_one_pass(spark, small):
+    assert not any("documents.parquet" in f for f in queries_models.merged_profiles(spark, small).inputFiles())
+    docs = spark.createDataFrame([("l", "a b a"), ("l", "A"), ("l", "#3 c"), ("l", "..."), ("l", " "), ("m", "b b"), (None, "a")], "lang string, text string")
+    words = spark.createDataFrame([("l", [("a", 4)]), ("m", [("b", 2)])], "lang string, top array<struct<word: string, n: long>>")
+    found = queries_models._exact(docs, words)
+    texts = {("l", 3, 1), ("l", 1, 1), ("l", 2, 1), ("l", 0, 1), ("m", 2, 1), (None, 1, 1)}
+    assert {(r.lang, r.value, r.rows) for r in found.where("of = 'texts'").collect()} == texts
+    counts = {("l", 3, 4, 1), ("l", 1, None, 3), ("m", 2, 2, 1), (None, 1, None, 1)}
+    assert {(r.lang, r.value, r.said, r.rows) for r in found.where("of = 'words'").collect()} == counts
