@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.sql import functions as F
 
 from evalloom import queries_analysis, queries_files, queries_models
 from evalloom.functions import text as T
-from evalloom.operators import edits, generate, metrics, profile
+from evalloom.functions.vocab import STOPWORDS
+from evalloom.operators import edits, generate, metrics, profile, topics
 from evalloom.sources import sessions
 
 
@@ -82,3 +86,29 @@ def test_sketches_are_held_against_exact_values_in_one_pass(spark, small):
     assert {(r.lang, r.value, r.rows) for r in found.where("of = 'texts'").collect()} == texts
     counts = {("l", 3, 4, 1), ("l", 1, None, 3), ("m", 2, 2, 1), (None, 1, None, 1)}
     assert {(r.lang, r.value, r.said, r.rows) for r in found.where("of = 'words'").collect()} == counts
+
+
+def test_words_of_topics_are_counted_as_a_count_vectorizer_does(spark, small, monkeypatch):
+    monkeypatch.setattr(topics, "AT_ONCE", 7)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "the of"), (-3, "The THE thE er er")], "doc_id long, text string"))
+    read = StopWordsRemover(inputCol="w", outputCol="kept", stopWords=STOPWORDS).transform(docs.withColumn("w", T.tokens(F.col("text"))))
+    for most, least in ((1 << 16, 2), (50, 3)):
+        plain = CountVectorizer(inputCol="kept", outputCol="v", vocabSize=most, minDF=least).fit(read)
+        texts = [r.kept for r in read.select("kept").collect()]
+        n, rows = Counter(w for t in texts for w in t), Counter(w for t in texts for w in set(t))
+        order = sorted((w for w in n if rows[w] >= least), key=lambda w: (-n[w], w))[:most]
+        assert topics._frequent(read.select("w"), most, least) == order and [n[w] for w in order] == [n[w] for w in plain.vocabulary]  # it leaves ties open
+        parts = read.withColumn("p", topics._vectors(plain.vocabulary)("w"))
+        for r in plain.transform(parts).select("v", "p").collect():
+            assert (r.v.size, r.v.indices.tolist(), r.v.values.tolist()) == (r.p.size, r.p.indices, r.p["values"]) and r.p.type == 0
+
+
+def test_texts_of_topics_are_labelled_without_a_join(spark):
+    rows = [(k // 2 if k < 40 else None, "flight hotel beach" if k % 4 < 2 else "lesson exam pupil") for k in range(44)] + [(50, "alone"), (51, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = topics.modelled(texts, "doc_id", 2, iterations=5)
+    assert "Join" not in _plan(found)
+    assert topics.topics(found).agg(F.sum("n")).first()[0] == 44
+    assert sorted(map(str, found.select("doc_id", "text").collect())) == sorted(map(str, texts.collect()))
+    assert {r.text for r in found.where("label IS NULL").collect()} == {"alone", None}
+    assert topics.modelled(texts.where("doc_id > 49"), "doc_id", 2).where("label IS NULL").count() == 2
