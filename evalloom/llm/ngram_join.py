@@ -32,16 +32,25 @@ from .shared import BASES, dropped, mixed, stored, text_slices
 WIDTH = 5
 #: A fifth of a set can be missing in one that is linked with it (of PERCENT = 80), and a fortieth of it is looked for besides.
 MISSING, LOOKED_FOR, THIRD = 5, 40, 3
-#: Rows of two or three numbers up to which a table is broadcast, and rows with a sketch.
-SMALL, SKETCHES = 1 << 20, 1 << 17
+#: Numbers in a map of keys, of 64 bits each. Nothing larger than such a map is broadcast, whatever the size of the tables.
+MARKS = 1 << 17
 #: Buckets of a document's rarest hashes that are taken up first.
 RAREST = 2
 _U = np.uint64
 
 
-def _checked(frame: DataFrame, most: int = SMALL) -> DataFrame:
-    """A stored frame, to be broadcast if it has at most so many rows."""
-    return F.broadcast(frame) if frame.count() <= most else frame
+def marked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with a column `marked`, false only for rows whose key is surely not among the keys: these set bits of a map, which is broadcast."""
+    place = F.pmod(F.xxhash64(*on), F.lit(64 * MARKS))
+    number, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    marks = keys.select(number.alias("number"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("number").agg(F.bit_or("bit").alias("marks"))
+    rows = rows.withColumn("number", number).join(F.broadcast(marks), "number", "left")
+    return rows.withColumn("marked", F.coalesce(F.getbit("marks", bit) == 1, F.lit(False))).drop("number", "marks")
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is among the keys of a stored frame; only rows that are marked go anywhere for it."""
+    return marked(rows, keys, on).where("marked").drop("marked").join(keys.select(*on).hint("merge"), on, "left_semi")
 
 
 def _sets(rows: Iterator[pa.RecordBatch], width: int, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -119,9 +128,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def both(ends) -> Column:
         return F.arrays_overlap(ends("set_x", F.floor(F.col("n_x") / MISSING).cast("int") + 1), ends("set_y", F.floor(F.col("n_y") / MISSING).cast("int") + 1))
 
-    # A set goes to those that it is compared with; of the first ones only those go anywhere that have a pair.
-    some = stored(pairs.select("x").distinct(), "first")
-    rows = two.join(_checked(pairs), "y").join(one.join(_checked(some), "x", "left_semi"), "x")
+    # A set goes to those that it is compared with; only those go anywhere that have a pair.
+    one, two = (marked(rows, pairs, [k]).where("marked").drop("marked") for rows, k in ((one, "x"), (two, "y")))
+    rows = two.join(pairs.hint("merge"), "y").join(one, "x")
     rows = rows.where(both(lambda s, n: F.slice(s, F.lit(1), n)) & both(lambda s, n: F.slice(s, -n, n)))
     common = F.size(F.array_intersect("set_x", "set_y"))
     rows = rows.where(100 * common >= PERCENT * (F.col("n_x") + F.col("n_y") - common))
@@ -133,42 +142,44 @@ def _parts(buckets: DataFrame) -> DataFrame:
 
 
 def links_in_buckets(entries: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
-    """(node, component) by the links given and those between the sets (row, rep, n, first, bits) that are in a bucket of the entries (bucket, parts, rank, row) together; None without any."""
+    """(node, component) by the links given and those between the sets (row, rep, n, first, bits) that are in a bucket of the entries (bucket, parts, rank, row) together; None without any.
+
+    Spark takes stored entries by the size of their files for small enough to be broadcast, where they are many times as large as rows, so all joins of theirs are merges."""
     labels = None if links.isEmpty() else components(links)
-    light = _checked(stored(sets.select("row", "rep", "n", "bits"), "sketches"), SKETCHES)
+    light = stored(sets.select("row", "rep", "n", "bits"), "sketches")
     members = stored(entries.select("bucket", "parts", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "rank", "row"), "members")
     tested, centres, first = None, 0, True
 
     def labelled(rows: DataFrame) -> DataFrame:
         """Members with what the comparison reads and their component."""
-        rows = rows.join(light, "row")
+        rows = rows.join(light.hint("merge"), "row")
         if labels is None:
             return rows.withColumn("component", F.col("rep"))
-        return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        return rows.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     while not members.isEmpty():
         now = labelled(members.where(F.col("rank") < RAREST) if first else members)
-        centre = F.struct("row", "n", "component", "bits")
+        centre = F.struct("rep", "row", "n", "component", "bits")  # the smallest id first: copies often come after what they were made of
         if centres <= 1:
             chosen = now.groupBy("bucket", "parts").agg(F.min(centre).alias("c"))
         else:
             sizes = now.groupBy("bucket", "parts", "component").agg(F.count("*").alias("k"))
             largest = sizes.groupBy("bucket", "parts").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), (F.sum("k") - F.max("k")).alias("others"))
-            others = now.join(_parts(largest), ["bucket", "part"]).where("component <> largest")
+            others = now.join(_parts(largest).hint("merge"), ["bucket", "part"]).where("component <> largest")
             chosen = others.where(F.pmod(F.xxhash64("row"), F.ceil(F.col("others") / centres)) == 0).select("bucket", "parts", centre.alias("c"))
         chosen = stored(chosen, "centres")
-        pairs = now.join(_parts(chosen), ["bucket", "part"]).where("component <> c.component").where(maybe_linked(F.col("n"), F.col("c.n"), F.col("bits"), F.col("c.bits")))
+        pairs = now.join(_parts(chosen).hint("merge"), ["bucket", "part"]).where("component <> c.component").where(maybe_linked(F.col("n"), F.col("c.n"), F.col("bits"), F.col("c.bits")))
         pairs = pairs.where(100 * F.least("n", "c.n") >= PERCENT * F.greatest("n", "c.n")).select(F.least("row", "c.row").alias("x"), F.greatest("row", "c.row").alias("y")).distinct()
-        pairs = stored(pairs.join(tested, ["x", "y"], "left_anti") if tested is not None else pairs, "pairs")
+        pairs = stored(pairs.join(tested.hint("merge"), ["x", "y"], "left_anti") if tested is not None else pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         links = links.union(stored(linked(pairs, sets), "links"))
         if labels is not None:
             dropped(labels)
         labels = components(links)
         # Whoever has been a centre has been compared with all of its bucket.
-        left = members if first else members.join(chosen.select("bucket", F.col("c.row").alias("row")), ["bucket", "row"], "left_anti")
+        left = members if first else members.join(chosen.select("bucket", F.col("c.row").alias("row")).hint("merge"), ["bucket", "row"], "left_anti")
         several = labelled(left).groupBy("bucket", "parts").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "parts")
-        left = stored(left.join(_parts(several), ["bucket", "part"]).select("bucket", "parts", "part", "rank", "row"), "members")
+        left = stored(left.join(_parts(several).hint("merge"), ["bucket", "part"]).select("bucket", "parts", "part", "rank", "row"), "members")
         dropped(members, chosen)
         members, centres, first = left, 1 if first else max(1, centres) * MORE, False
     dropped(members)
@@ -185,7 +196,8 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     same = ["one", "two", "n"]
     classes = named.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1")
     classes = stored(classes.select(*same, "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "classes")
-    salted = named.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(_checked(classes), [*same, "salt"], "left")
+    salted = marked(named.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")), classes, same)
+    salted = salted.where("marked").join(classes.hint("merge"), [*same, "salt"], "left").unionByName(salted.where("NOT marked").withColumn("rep", F.lit(None).cast("long")))
     of = salted.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "row", "one", "n", "first", "found")
     alone = of.where("rep = doc_id")
 
@@ -200,16 +212,19 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if upwards.isEmpty():
         labels = None if links.isEmpty() else components(links)
     else:
-        again = docs.join(_checked(stored(upwards.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi").mapInArrow(lambda rows: _sets(rows, width, True), f"{schema}, bits array<long>")
-        again = again.withColumnRenamed("doc_id", "rep").join(_checked(upwards), ["rep", "one"], "left_semi")
+        some = marked(docs, upwards.select(F.col("rep").alias("doc_id")), ["doc_id"]).where("marked")
+        again = some.select("doc_id", "text").mapInArrow(lambda rows: _sets(rows, width, True), f"{schema}, bits array<long>")
+        again = among(again.withColumnRenamed("doc_id", "rep"), upwards, ["rep", "one"])
         sets = stored(again.select(F.monotonically_increasing_id().alias("row"), "rep", "n", "first", "bits"), "sets")
         length = (F.floor(F.col("n") / MISSING) + F.ceil(F.col("n") / LOOKED_FOR)).cast("int")
         downwards = stored(shared_first(sets, F.slice("first", -length, length)), "downwards")
-        sets = sets.join(_checked(downwards), "row", "left_semi")
+        left = stored(among(sets, downwards, ["row"]), "sets")
+        dropped(sets)
+        sets = left
         labels = links_in_buckets(rare_first(sets), sets, links)
     result = names
     if labels is not None:
-        result = result.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("rep"))
+        result = result.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("rep"))
     result = result.groupBy(F.col("doc_id").alias("its_id")).agg(F.min("rep").alias("found"))
     rows = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(result, F.col("doc_id") == F.col("its_id"), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))

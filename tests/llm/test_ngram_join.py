@@ -105,3 +105,14 @@ def test_a_passage_that_all_have_leaves_no_entries(spark):
     schema = "doc_id long, n long, one long, two long, first array<long>, bits array<long>"
     sets = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(lambda b: ngram_join._sets(b, 5, True), schema).withColumnRenamed("doc_id", "row")
     assert ngram_join.rare_first(sets).count() == 0
+
+
+def test_what_is_broadcast_does_not_grow(spark, monkeypatch):
+    """Nothing larger than a map of keys, also where all of a map's bits are set; one that is small lets through what others would not, and the result is the same."""
+    sizes, real = [], F.broadcast
+    monkeypatch.setattr(ngram_join, "MARKS", 2, raising=False)
+    monkeypatch.setattr(F, "broadcast", lambda frame: sizes.append(frame.count()) or real(frame))
+    rows = corpus(4)
+    rows += [(1000 + i, t) for i, t in rows[::3]] + [(2000 + i, f"{t} {t}") for i, t in rows[::5]]
+    assert found(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sizes and max(sizes) <= 2
