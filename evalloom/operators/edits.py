@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,7 @@ DERIVED = "iness|ness|ment|ation|ition|tion|ful|less|ity|ous|ive|able|ible|al|an
 
 #: Costs of an alignment.
 ALONE, CASE, BASES, OPEN, CLASSES, LETTERS = 100, 10, 50, 25, 50, 100
-#: Words of the longest run that is put into another order, and cells of a table that are worked out at once.
+#: Words of the longest run that is put into another order, and cells of a table that are held at once, or else the rows between those that are kept.
 RUN, CELLS = 4, 1 << 22
 
 
@@ -258,41 +258,69 @@ def costs_of(a: list[str], b: list[str]) -> np.ndarray:
     return found[np.ix_([ua[w] for w in a], [ub[w] for w in b])]
 
 
-def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int, int, int]]]:
-    """The least cost, and steps (=, R, D, I or T, then the words' bounds in a and b) of that cost: a word left out or put in is ALONE, k words in another order k - 1 times that."""
-    la, lb = [w.lower() for w in a], [w.lower() for w in b]
-    runs: dict[int, list[tuple[int, int]]] = {}
+def _reordered(a: list[str], b: list[str]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """For an end of a run in a its lengths, and where in b the runs begin that have its words in another order; equal runs share these places."""
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k in range(2, RUN + 1):
-        at: dict[tuple, list[int]] = {}
+        at: dict[tuple, dict[tuple, list[int]]] = {}
         for j in range(len(b) - k + 1):
-            at.setdefault(tuple(sorted(lb[j : j + k])), []).append(j)
+            run = tuple(b[j : j + k])
+            at.setdefault(tuple(sorted(run)), {}).setdefault(run, []).append(j)
+        known: dict[tuple, np.ndarray] = {}
         for i in range(len(a) - k + 1):
-            for j in at.get(tuple(sorted(la[i : i + k])), ()):
-                if la[i : i + k] != lb[j : j + k]:
-                    runs.setdefault(i + k, []).append((j + k, k))
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+            run = tuple(a[i : i + k])
+            orders = at.get(tuple(sorted(run)), {})
+            if len(orders) > (run in orders):
+                if run not in known:
+                    known[run] = np.array([j for order, places in orders.items() if order != run for j in places])
+                found.setdefault(i + k, []).append((k, known[run]))
+    return found
+
+
+def aligned(a: list[str], b: list[str]) -> tuple[int, list[tuple[str, int, int, int, int]]]:
+    """The least cost, and steps (=, R, D, I or T, then the words' bounds in a and b) of that cost: a word left out or put in is ALONE, k words in another order k - 1 times that.
+
+    Of long lists a few rows of the table are kept at a time, and what stands between them is worked out again for the steps.
+    """
+    runs = _reordered([w.lower() for w in a], [w.lower() for w in b])
     steps = ALONE * np.arange(len(b) + 1)
-    table[0] = steps
-    costs = costs_of(a, b) if a and b else np.zeros((len(a), len(b)), np.int64)
-    for i in range(len(a)):
-        row = table[i] + ALONE
-        row[1:] = np.minimum(row[1:], table[i, :-1] + costs[i])
-        for j, k in runs.get(i + 1, ()):
-            row[j] = min(row[j], table[i + 1 - k, j - k] + ALONE * (k - 1))
-        table[i + 1] = np.minimum.accumulate(row - steps) + steps
+    height = max(1, CELLS // (len(b) + 1), isqrt(RUN * len(a)))
+
+    def rows(first: int, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table's rows first - RUN + 1 to first + height, of which those up to first are above, and the costs of the words after first."""
+        last = min(first + height, len(a))
+        costs = costs_of(a[first:last], b) if last > first and b else np.zeros((last - first, len(b)), np.int64)
+        table = np.empty((RUN + last - first, len(b) + 1), np.int64)
+        table[:RUN] = above
+        for at, i in enumerate(range(first + 1, last + 1), RUN):
+            row = table[at - 1] + ALONE
+            row[1:] = np.minimum(row[1:], table[at - 1, :-1] + costs[at - RUN])
+            for k, starts in runs.get(i, ()):
+                row[starts + k] = np.minimum(row[starts + k], table[at - k, starts] + ALONE * (k - 1))
+            table[at] = np.minimum.accumulate(row - steps) + steps
+        return table, costs
+
+    kept = [np.tile(steps, (RUN, 1))]  # of those only the last is the table's
+    for first in range(0, max(1, len(a)), height):
+        table, costs = rows(first, kept[-1])
+        kept.append(table[-RUN:].copy())
+    total = int(table[-1, -1])
     found, i, j = [], len(a), len(b)
     while i or j:
-        run = next((k for to, k in runs.get(i, ()) if to == j and table[i, j] == table[i - k, j - k] + ALONE * (k - 1)), 0)
-        if i and j and table[i, j] == table[i - 1, j - 1] + costs[i - 1, j - 1]:
+        if i <= first and first:
+            first -= height
+            table, costs = rows(first, kept[first // height])
+        at = i - first + RUN - 1
+        if i and j and table[at, j] == table[at - 1, j - 1] + costs[i - first - 1, j - 1]:
             found.append(("=" if a[i - 1] == b[j - 1] else "R", i - 1, i, j - 1, j))
-        elif run:
+        elif run := next((k for k, starts in runs.get(i, ()) if j - k in starts and table[at, j] == table[at - k, j - k] + ALONE * (k - 1)), 0):
             found.append(("T", i - run, i, j - run, j))
-        elif i and table[i, j] == table[i - 1, j] + ALONE:
+        elif i and table[at, j] == table[at - 1, j] + ALONE:
             found.append(("D", i - 1, i, j, j))
         else:
             found.append(("I", i, i, j - 1, j))
         i, j = found[-1][1], found[-1][3]
-    return int(table[-1, -1]), found[::-1]
+    return total, found[::-1]
 
 
 def merged(a: list[str], b: list[str], steps: list[tuple[str, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -323,17 +351,8 @@ def merged(a: list[str], b: list[str], steps: list[tuple[str, int, int, int, int
 
 
 def spans(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """The edits' bounds in both lists. Of longer lists the common blocks stand first, and what is still longer between them is one edit."""
-    if (len(a) + 1) * (len(b) + 1) <= CELLS:
-        return merged(a, b, aligned(a, b)[1])
-    found, i, j = [], 0, 0
-    for block in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        x, y = a[i : block.a], b[j : block.b]
-        if x or y:
-            part = merged(x, y, aligned(x, y)[1]) if (len(x) + 1) * (len(y) + 1) <= CELLS else [(0, len(x), 0, len(y))]
-            found += [(p + i, q + i, r + j, s + j) for p, q, r, s in part]
-        i, j = block.a + block.size, block.b + block.size
-    return found
+    """The edits' bounds in both lists, by the same alignment whatever their lengths."""
+    return merged(a, b, aligned(a, b)[1])
 
 
 def annotator(align: Callable | None = None) -> Callable[[Column, Column], Column]:

@@ -101,6 +101,22 @@ def test_alignment_is_the_plain_programme():
         assert rebuilt + a[at:] == b
 
 
+def test_long_texts_are_aligned_as_short_ones(monkeypatch):
+    """The steps are the same however few cells of the table are held, so no text is long enough for another method."""
+    rng = random.Random(3)
+    words = "the The a cat cats go goes went going . , in on quick quickly he him has have to more recieve receive x".split()
+    for n in [9] * 40 + [70] * 20:
+        a = [rng.choice(words) for _ in range(rng.randrange(n))]
+        b = [w for w in a if rng.random() < 0.8] + [rng.choice(words) for _ in range(rng.randrange(n))]
+        at = rng.randrange(n)
+        b[at : at + 4] = reversed(b[at : at + 4])
+        whole = edits.spans(a, b), edits.aligned(a, b)
+        for cells in (1, 50, 500):
+            with monkeypatch.context() as held:
+                held.setattr(edits, "CELLS", cells)
+                assert (edits.spans(a, b), edits.aligned(a, b)) == whole
+
+
 def test_base_forms_are_those_of_the_columns(spark):
     words = "go goes went making make makes boxes box horse horses running run called call happily happy cities city bigger biggest big is are s es ing being children was ss aed bus buses naïve ü".split()
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", edits.word_form(F.col("w")).alias("f")).collect()
