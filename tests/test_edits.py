@@ -117,6 +117,14 @@ def test_long_texts_are_aligned_as_short_ones(monkeypatch):
                 assert (edits.spans(a, b), edits.aligned(a, b)) == whole
 
 
+def test_types_of_a_long_text(spark):
+    """Words that differ in case only stand for each other, also beside a block that both texts have."""
+    words, block = [f"w{k}x" for k in range(2050)], [f"b{k}" for k in range(9)]
+    frame = spark.createDataFrame([(" ".join(words + block), " ".join(block + [w.upper() for w in words]))], "s string, t string")
+    found = frame.select(F.explode(edits.annotator()(F.col("s"), F.col("t"))).alias("e")).groupBy("e.type").count().collect()
+    assert {r.type: r["count"] for r in found}["R:ORTH"] == len(words)
+
+
 def test_base_forms_are_those_of_the_columns(spark):
     words = "go goes went making make makes boxes box horse horses running run called call happily happy cities city bigger biggest big is are s es ing being children was ss aed bus buses naïve ü".split()
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", edits.word_form(F.col("w")).alias("f")).collect()
