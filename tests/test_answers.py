@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom import queries_models
 from evalloom.operators import answers, generate, topics
 from evalloom.plans import analysis, profiles, tasks
 from evalloom.sources import archive, sessions
@@ -43,6 +44,21 @@ def test_a_second_run_asks_nothing(spark, tmp_path):
     assert answers.remembered(rows.limit(0), F.col("q"), client, "m", path).collect() == []
 
 
+def test_topics_of_each_language(spark, small):
+    """Each language has a model and a vocabulary of its own, and shares of its own documents."""
+    words = {"en": "flight hotel beach ticket", "de": "Lehrer Heft Klasse Pause", None: "uno dos tres cuatro"}
+    rows = [(k, lang, " ".join(w.split()[(k + j) % 4] for j in range(6))) for n, (lang, w) in enumerate(words.items()) for k in range(100 * n, 100 * n + 30 * (n + 1))] + [(900, "en", None), (901, "xx", "alone")]
+    texts = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = topics.topics_by(texts, "lang", "doc_id", 2, iterations=5).collect()
+    assert {lang: sum(r.n for r in found if r.lang == lang) for lang in (*words, "xx")} == {"en": 30, "de": 60, None: 90, "xx": 0}
+    assert {lang: round(sum(r.fraction for r in found if r.lang == lang), 3) for lang in words} == dict.fromkeys(words, 1)
+    assert all(w in words[r.lang].lower() for r in found for w in r.topic.split()) and all(r.examples for r in found)
+    assert topics.topics_by(texts.limit(0), "lang", "doc_id", 2).collect() == []
+    found = queries_models.modelled_topics(spark, small).groupBy("lang").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    docs = {r.lang: r["count"] for r in spark.read.parquet(f"{small}/documents.parquet").groupBy("lang").count().collect()}
+    assert {r.lang for r in found} == set(docs) and all(r.k <= 8 and r.n <= docs[r.lang] for r in found) and any(r.k > 1 for r in found)
+
+
 def test_topics_of_a_model(spark):
     words = {"travel": "flight hotel beach ticket airport luggage", "school": "teacher homework lesson exam pupil classroom"}
     rows = [(k, " ".join(words["travel" if k % 4 else "school"].split()[(k + j) % 6] for j in range(8))) for k in range(80)] + [(900, None), (901, "the of")]
